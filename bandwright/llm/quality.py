@@ -80,12 +80,13 @@ def bradley_terry(
     seed: int = 42,
     folds: int = 4,
     held: int = 2,
+    slack: float = 0.02,
 ) -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs.
 
     Weights come from preference pairs of `sample` labelled rows at most, those outside fold `held` with the
     least seeded hash.  The cut is a quantile of all documents' scores: the level that best parts the labels of
-    those rows.  A score is the logistic of the distance to the cut, moved so that the cut is at cut_score.
+    those rows, moved by up to `slack` to where scores are furthest apart.  A score is the logistic of the distance to the cut, moved so that the cut is at cut_score.
     A null or empty text has the features of no text and a score like any other.  Ids without a label, and labels
     that are null or name no document, teach nothing; with one class only, or no labels, every score is
     cut_score.  Repeated rows are each returned; a null id is fold 0 and is not learnt from.
@@ -115,7 +116,8 @@ def bradley_terry(
     for k, w in enumerate(weight):
         raw = raw + F.col("x")[k] * F.lit(float(w))
     scored = cut(rows.select("id", raw.alias("raw")), "quality-raw")
-    at = scored.agg(F.percentile_approx("raw", level, 100_000)).first()[0] or 0.0
+    levels = np.clip(level + np.linspace(-slack, slack, 81), 0, 1).tolist()
+    at = widest_gap(scored.agg(F.percentile_approx("raw", levels, 100_000)).first()[0])
     score = 1 / (1 + F.exp(-(F.col("raw") - F.lit(at) + math.log(cut_score / (1 - cut_score)))))
     score = F.lit(cut_score) if not weight.any() else F.when(F.col("raw") >= at, F.greatest(score, F.lit(cut_score))).otherwise(F.least(score, F.lit(float(np.nextafter(cut_score, 0)))))
     out = scored.select(F.col("id").alias(id_col), (fold("id", folds) == held).alias("held_out"), score.alias("score"))
@@ -127,3 +129,12 @@ def best_level(raw: np.ndarray, good: np.ndarray) -> float:
     order = np.argsort(raw, kind="stable")
     hit = np.cumsum(~good[order]) - np.cumsum(good[order])
     return float((int(hit.argmax()) + 1) / len(raw))
+
+
+def widest_gap(quantiles: list[float] | None) -> float:
+    """The middle between the two neighbouring quantiles that are furthest apart."""
+    if not quantiles:
+        return 0.0
+    q = np.array(quantiles)
+    k = int(np.diff(q).argmax())
+    return float((q[k] + q[k + 1]) / 2)

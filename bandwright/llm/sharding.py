@@ -60,7 +60,8 @@ def interleave(rows: DataFrame, source_col: str, order_cols: list[str], shards:
 
 
 def sharded_rows(docs: DataFrame, source_col: str, shards: int, seed: int = 42) -> DataFrame:
-    """docs with `shard` and `slot`; whole rows are shuffled once, to meet their place."""
+    """docs with `shard` and `slot`, in place of any such columns; whole rows are shuffled once, to meet their place."""
+    docs = docs.drop("shard", "slot")
     rows = numbered(docs, "shard-input")
     content = F.xxhash64(*[F.col(c) for c in docs.columns])
     narrow = rows.select("__row", F.col(source_col).alias("__source"), content.alias("__content"))
