@@ -15,8 +15,14 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, `und` and unsure ones left out."""
-    found = langid.identify(docs, langid.learn_rows(docs), carry=[c for c in docs.columns if c not in ("doc_id", "text")], keep_text=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    # columns go by numbers meanwhile, so none can clash with the prediction's
+    at = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    learn = langid.learn_rows(plain, at["doc_id"], at["lang"])
+    carry = [n for c, n in at.items() if c not in ("doc_id", "text")]
+    found = langid.identify(plain, learn, at["doc_id"], at["text"], at["lang"], carry=carry, keep_text=True)
+    sure = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    return sure.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
