@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_values
+from .shared import byte_values, small_batches
 
 #: Fixed masks: 1 is a token that is hashed, 0 one that is ignored.  Any WINDOW tokens with up to two
 #: substitutions have a place where one of them meets none (a test tries every such pair).
@@ -78,7 +78,7 @@ class Index:
         need = width if width < WINDOW else -(-width * SHARE // 1)
         return most if most >= need else 0
 
-    def hits(self, texts: list[bytes | None], step: int = 1 << 21) -> list[tuple[int, int, int]]:
+    def hits(self, texts: list[bytes | None], step: int = 1 << 19) -> list[tuple[int, int, int]]:
         """(row, item, equal tokens) of every row and item that overlap."""
         found: list[tuple[int, int, int]] = []
         start = 0
@@ -123,6 +123,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
     spark = benchmark.sparkSession
+    small_batches(spark)
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = sorted(((r["item"], r["text"].encode("utf-8")) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_chunks, byte_values, fold
+from .shared import byte_chunks, byte_values, fold, small_batches
 
 ORDER = 3
 PAD = b"\n" * ORDER
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _MODELS: dict[str, Model] = {}
@@ -62,7 +62,7 @@ def gather_counts(docs: DataFrame, text_col: str, lang_col: str, hold: int = 1 <
             langs, texts = batch.column(1).to_pylist(), byte_values(batch.column(0))
             for lang in dict.fromkeys(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang and t]
-                for a, b in byte_chunks(own, 8 * CHUNK):
+                for a, b in byte_chunks(own, 2 * CHUNK):
                     # texts are parted by the pad, so a text starts in the context of line ends
                     buffer = np.frombuffer(PAD + PAD.join(own[a:b]), np.uint8)
                     held.setdefault(lang, []).append(_tally(_grams(buffer)))
@@ -168,7 +168,7 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    contexts: int = 8192,
+    contexts: int = 4096,
     codes: int = 2_000_000,
     carry: list[str] | None = None,
     keep_text: bool = False,
@@ -182,6 +182,7 @@ def identify(
     with score 0.  carry: columns of docs passed through untouched; keep_text: the text too.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     counts = gather_counts(train, text_col, lang_col)
     table = counts.orderBy(F.desc("n"), "lang", "code").limit(codes).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))

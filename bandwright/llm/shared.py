@@ -39,6 +39,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return cut(docs.select("*", F.monotonically_increasing_id().alias("__row")), name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of 8 MB, not 64: two workers then fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

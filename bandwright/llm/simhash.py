@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_values, connected_components, cut, whole_groups
+from .shared import byte_values, connected_components, cut, small_batches, whole_groups
 
 BITS = 64
 #: Words of a wide fingerprint.
@@ -196,6 +196,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless no row of the fingerprint has an id: then component_id is null.  Repeated rows are returned each.
     Other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     narrow = cut(with_fingerprints(docs, id_col, text_col, words_each, seed), "fingerprints")
     nodes = cut(narrow.groupBy("fp").agg(F.min("id").alias("id")).filter("id is not null"), "fingerprint-nodes")
     component = connected_components(fingerprint_links(nodes, budget))
@@ -275,6 +276,7 @@ def keep_one_of_each(
             done = [wide_fingerprint(x, words_each, bands, rows, seed) for x in byte_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["id", "fp", "keys"])
 
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     narrow = cut(known.mapInArrow(describe, f"id {kind}, fp binary, keys array<long>"), "wide-fingerprints")
     nodes = cut(narrow.groupBy("fp").agg(F.min("id").cast("long").alias("id"), F.min("keys").alias("keys")), "wide-nodes")
