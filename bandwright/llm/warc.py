@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import gzip
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fresh_dir
+from .shared import cut, fresh_dir
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,7 +27,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     cut into segments: the first record, then continuation records that name it, their number and, in the
     last, the total length.  Of equal payloads of at least SMALLEST_REVISIT bytes the row with the smallest id is
     a response and the others revisit it; rows that repeat the smallest id are all responses, and a null id
-    is after every other.  Null payloads are empty.  Files are of the writer's partitions; Spark's committer
+    is after every other.  Null payloads are empty.  Files are of the writer's partitions, gzipped; Spark's committer
     makes a file appear whole or not at all.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -81,7 +80,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     # Two line ends close a record, so the text writer's line separator is the end of a record.
     value = F.concat(header.cast("binary"), piece).cast("string")
-    pieces.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    pieces.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -146,7 +145,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for head, block in parse(memoryview(content.as_buffer()).tobytes()):
+                data = content.as_buffer().to_pybytes()
+                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     more = head["warc-type"] == "continuation"
                     number = int(head.get("warc-segment-number", 0))
                     total = head.get("warc-segment-total-length")
@@ -156,7 +156,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 for a in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000]), kinds)], names)
 
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content").mapInArrow(records, _RECORD)
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(records, _RECORD)
     whole = parts.filter("number = 0").select("origin", "page", "kind", "refers", "digest", "block")
     pieces = (
         parts.filter("number > 0")
@@ -195,7 +195,7 @@ def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     read = read_records(spark, path).select("record", "page", "kind", "refers", "stated", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
     page = F.when(F.col("page") == "-", None).otherwise(F.col("page")).cast("long")
     fault = F.raise_error(F.concat(F.lit("digest of "), "record", F.lit(" differs")))
-    read = read.select("*", page.alias("id"))
+    read = cut(read.select("*", page.alias("id")), "warc-digests")
     own = read.filter("kind = 'response'")
     own = own.select("id", "record", "bytes", F.when(F.concat(F.lit("sha256:"), "digest") == F.col("stated"), F.col("digest")).otherwise(fault).alias("digest"))
     again = read.filter("kind = 'revisit'").select("id", "refers")
