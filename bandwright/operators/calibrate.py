@@ -104,9 +104,14 @@ def risk_control(issues: DataFrame, grid: list[float], alpha: float, loss, maxim
 # Methods that read their own issued bounds: an ordered fold for each (node, c).
 
 
+# Each names in STATE what it must keep between calls.
+
+
 class Tracker:
     """theta += rate (miss - (1 - level))."""
 
+    STATE = ("theta",)
+
     def __init__(self, level: float, rate: float, start: float = 0.0):
         if not 0 < level < 1 or rate <= 0:
             raise ValueError("level must be in (0, 1) and the rate positive")
@@ -119,58 +124,167 @@ class Tracker:
         return self.theta
 
 
+class Retained:
+    """The conformal rank of the last `window` scores; below 1, rho weighs them by age."""
+
+    STATE = ("scores",)
+
+    def __init__(self, level: float, window: int, rho: float = 1.0):
+        check_window(window)
+        if not 0 < level < 1 or not 0 < rho <= 1 or (rho < 1 and level >= rho):
+            raise ValueError("level must be in (0, 1), rho in (0, 1], and the level below it")
+        self.level, self.window, self.rho, self.scores = level, window, rho, []
+
+    def seed(self, scores: list[float]) -> None:
+        self.scores = [s for s in scores if math.isfinite(s)][-self.window :]
+
+    def update(self, score: float, missed: bool) -> None:
+        self.scores = (self.scores + [score])[-self.window :]
+
+    def threshold_at(self, level: float) -> float:
+        if self.rho == 1:
+            rank = math.ceil((len(self.scores) + 1) * level)
+            return sorted(self.scores)[rank - 1] if rank <= len(self.scores) else math.inf
+        n = len(self.scores)
+        weighed = sorted((s, self.rho ** (n - i)) for i, s in enumerate(self.scores))
+        need, total = level * (1 + sum(w for _, w in weighed)), 0.0
+        for s, w in weighed:
+            total += w
+            if total >= need:
+                return s
+        return math.inf
+
+    def threshold(self) -> float:
+        return self.threshold_at(self.level)
+
+
 class Adaptive:
-    """A split quantile whose working level follows the misses: level += gamma (miss - (1 - level))."""
+    """A retained quantile whose working level follows the misses: level += gamma (miss - (1 - level))."""
 
-    def __init__(self, level: float, gamma: float = 0.005, window: int = 52):
-        if not 0 < level < 1 or gamma <= 0:
-            raise ValueError("level must be in (0, 1) and gamma positive")
-        self.level, self.gamma, self.work, self.window, self.scores = level, gamma, level, window, []
+    STATE = ("work", "scores")
+
+    def __init__(self, level: float, gamma: float = 0.005, window: int = 52, rho: float = 1.0):
+        if gamma <= 0:
+            raise ValueError("gamma must be positive")
+        self.base = Retained(level, window, rho)
+        self.level, self.gamma, self.work = level, gamma, level
+
+    @property
+    def scores(self) -> list[float]:
+        return self.base.scores
+
+    @scores.setter
+    def scores(self, kept: list[float]) -> None:
+        self.base.scores = kept
 
     def update(self, score: float, missed: bool) -> None:
         self.work += self.gamma * (float(missed) - (1 - self.level))
-        self.scores = (self.scores + [score])[-self.window :]
+        self.base.update(score, missed)
 
     def threshold(self) -> float:
         if self.work >= 1:
             return math.inf
         if self.work <= 0:
             return -math.inf
-        q = min(max(self.work, 1e-6), 1 - 1e-6)
-        rank = math.ceil((len(self.scores) + 1) * q)
-        return sorted(self.scores)[rank - 1] if rank <= len(self.scores) else math.inf
+        return self.base.threshold_at(min(max(self.work, 1e-6), 1 - 1e-6))
+
+
+class ShortestInterval:
+    """The shortest interval of the last signed errors, as a pair of thresholds."""
+
+    STATE = ("scores",)
+
+    def __init__(self, level: float, window: int, grid: int = 21):
+        check_window(window)
+        if not 0 < level < 1 or grid < 2:
+            raise ValueError("level must be in (0, 1) and the grid of two points at least")
+        self.level, self.window, self.scores = level, window, []
+        self.betas = [g * (1.0 / (grid - 1)) * (1 - level) for g in range(grid - 1)] + [1 - level]
+
+    def update(self, score: float, missed: bool) -> None:
+        self.scores = (self.scores + [score])[-self.window :]
+
+    def threshold(self) -> tuple[float, float]:
+        s = sorted(self.scores)
+        if not s:
+            return -math.inf, math.inf
+        at = lambda q: s[min(max(math.ceil(len(s) * q), 1), len(s)) - 1]
+        return min(((at(b), at(self.level + b)) for b in self.betas), key=lambda pair: pair[1] - pair[0])
+
+
+class Risk:
+    """The least grid value whose summed losses, with the maximum, stay within alpha (n + 1), over all known targets."""
+
+    STATE = ("sums", "n")
+    by_target = True
+
+    def __init__(self, grid: list[float], alpha: float, loss, maximum: float = 1.0):
+        if not 0 < alpha < maximum or list(grid) != sorted(set(grid)) or not all(map(math.isfinite, grid)):
+            raise ValueError("alpha must be in (0, maximum) and the grid finite and increasing")
+        self.grid, self.alpha, self.loss, self.maximum, self.sums, self.n = list(grid), alpha, loss, maximum, [0.0] * len(grid), 0
+
+    def update(self, target: float, bounds) -> None:
+        """bounds(theta) gives the (lower, upper) that theta would have issued."""
+        self.sums = [total + self.loss(target, *bounds(g)) for total, g in zip(self.sums, self.grid)]
+        self.n += 1
+
+    def threshold(self) -> float:
+        fit = [g for g, total in zip(self.grid, self.sums) if total + self.maximum <= self.alpha * (self.n + 1)]
+        return fit[0] if fit else math.inf
 
 
 class ConformalPID:
-    """A proportional tracker on the seed's scale, a tangent integrator, and a scorecast of the scores ahead."""
+    """A proportional tracker on the seed's scale, a tangent integrator, and a scorecast of the scores ahead.
+
+    scorecaster gives the next score from the last `cast_window` ones; without one the scorecast is 0.
+    """
+
+    STATE = ("scale", "ring", "p", "e", "t")
 
-    def __init__(self, level: float, rate: float = 0.05, gain: float = 0.1, saturation: float = 5.0, window: int = 64, scorecaster=None):
+    def __init__(self, level: float, rate: float = 0.05, gain: float = 0.1, saturation: float = 5.0, window: int = 256, scorecaster=None, cast_window: int = 64):
+        check_window(window)
+        check_window(cast_window)
         if not 0 < level < 1 or rate <= 0 or gain < 0 or saturation <= 0:
             raise ValueError("level in (0, 1), rate and saturation positive, gain not negative")
-        self.level, self.rate, self.gain, self.saturation, self.window = level, rate, gain, saturation, window
-        self.cast = scorecaster or (lambda scores: float(np.mean(scores)) if len(scores) else 0.0)
-        self.scale = None
+        self.level, self.rate, self.gain, self.saturation, self.window, self.cast_window = level, rate, gain, saturation, window, cast_window
+        self.scorecaster, self.scale, self.ring, self.p, self.e, self.t = scorecaster, None, [], 0.0, 0.0, 0
+
+    def _ahead(self) -> float:
+        if self.scorecaster is None:
+            return 0.0
+        value = float(self.scorecaster(self.ring[-self.cast_window :]))
+        if not math.isfinite(value):
+            raise ValueError("the scorecast must be finite")
+        return max(value, 0.0)
 
     def seed(self, scores: list[float]) -> None:
-        s = np.asarray(scores, float)
-        if not len(s) or (s < 0).any():
+        if self.scale is not None:
+            raise ValueError("only an empty state can be seeded")
+        finite = [float(x) for x in scores if not math.isnan(x)]
+        if not finite or min(finite) < 0 or math.inf in finite:
             raise ValueError("a seed of nonnegative scores is needed")
-        self.scale, self.ring = max(float(s.std()), 0.1 * float(s.mean()), 1e-8), list(s[-self.window :])
+        self.ring = finite[-self.window :]
+        s = np.asarray(self.ring)
+        self.scale = max(float(s.std()), 0.1 * float(s.mean()), 1e-8)
         rank = min(max(math.ceil(len(s) * self.level), 1), len(s))
-        self.p, self.e, self.t = float(np.sort(s)[rank - 1]) - max(self.cast(self.ring), 0.0), 0.0, 0
+        self.p = float(np.sort(s)[rank - 1]) - self._ahead()
 
     def update(self, score: float, missed: bool) -> None:
         if self.scale is None:
             raise ValueError("seed first")
+        if score < 0:
+            raise ValueError("scores must not be negative")
         error = float(missed) - (1 - self.level)
         self.p += self.rate * self.scale * error
         self.e, self.t = self.e + error, self.t + 1
         self.ring = (self.ring + [score])[-self.window :]
 
     def threshold(self) -> float:
+        if self.scale is None:
+            return math.inf
         angle = self.e * math.log(self.t + 1) / (self.saturation * (self.t + 1))
         i = 0.0 if self.gain == 0 else math.copysign(math.inf, angle) if abs(angle) >= math.pi / 2 else self.gain * self.scale * math.tan(angle)
-        return self.p + i + max(self.cast(self.ring), 0.0)
+        return self.p + i + self._ahead()
 
 
 def fold(issues: DataFrame, make, two_sided: bool, seed_rows: int = 0) -> DataFrame:
