@@ -24,7 +24,9 @@ def edges(attributes: DataFrame, levels: list[list[str]]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    members = every.groupBy("node", "level").agg(F.array_join(F.array_sort(F.collect_set("series")), "\x1f").alias("print"))
+    # a member set is known by its size and two sums of hashes, which are added up before any exchange
+    mark = lambda salt: F.sum(F.xxhash64("series", F.lit(salt)).cast("decimal(38,0)"))
+    members = every.groupBy("node", "level").agg(F.struct(F.count(F.lit(1)), mark(1), mark(2)).alias("print"))
     top = len(levels) + 1
     first = Window.partitionBy("print").orderBy(F.when(F.col("level") == 0, 0).when(F.col("level") == top, 1).otherwise(2), "level", "node")
     kept = members.select("*", F.row_number().over(first).alias("r")).filter(f"r = 1 or level = 0 or level = {top}").select("node", "level")
@@ -65,8 +67,42 @@ def projection(edge_rows: list[tuple[str, str, int]]) -> list[tuple[str, str, fl
     return [(names[a], names[b], float(p[a, b])) for a, b in zip(*np.nonzero(np.abs(p) > 1e-15))]
 
 
-def wls_struct(base: DataFrame, edge: DataFrame) -> DataFrame:
-    """Coherent points nearest to the base points of all nodes; the system is the hierarchy's, solved once."""
-    rows = [tuple(r) for r in edge.select("node", "series", "level").collect()]
-    weights = base.sparkSession.createDataFrame(projection(rows), "node string, base string, w double")
-    return base.withColumnRenamed("node", "base").join(F.broadcast(weights), "base").groupBy("node", "origin", "h").agg(F.sum(F.col("w") * F.col("point")).alias("point"))
+def constraint_inverse(edge_rows: list[tuple[str, str, int]]) -> list[tuple[str, str, float]]:
+    """(node, other, weight): the inverse of J W J' over the nodes above the bottoms, J their sums less themselves, W leaf counts."""
+    members: dict[str, set[str]] = {}
+    for n, s, level in edge_rows:
+        if level > 0:
+            members.setdefault(n, set()).add(s)
+    names = sorted(members)
+    series = {s: k for k, s in enumerate(sorted(set().union(*members.values())))} if members else {}
+    under = np.zeros((len(names), len(series)))
+    for k, n in enumerate(names):
+        under[k, [series[s] for s in members[n]]] = 1
+    inverse = np.linalg.inv(under @ under.T + np.diag(under.sum(1))) if names else np.zeros((0, 0))
+    return [(names[a], names[b], float(inverse[a, b])) for a, b in zip(*np.nonzero(np.abs(inverse) > 1e-15))]
+
+
+def wls_struct(base: DataFrame, edge: DataFrame, most: int = 20_000) -> DataFrame:
+    """Coherent points nearest to the base points of all nodes: least squares with structural weights, the leaf counts.
+
+    The system has one row for each node above the bottoms, and is inverted once, on the driver; over `most` such
+    nodes that is refused.  How far each node is from its bottoms' sum, the multipliers and the corrections are
+    joins and sums over the hierarchy's edges; no table of node pairs that include bottoms is made.
+    """
+    upper = edge.filter("level > 0")
+    count = upper.select("node").distinct().count()
+    if count > most:
+        raise ValueError(f"{count} nodes above the bottoms; {most} at most")
+    rows = [tuple(r) for r in upper.select("node", "series", "level").collect()]
+    inverse = base.sparkSession.createDataFrame(constraint_inverse(rows), "node string, other string, w double")
+    under = upper.select("node", F.col("series").alias("bottom"))
+    # a node's own base point counts against it, each of its bottoms' for it
+    signed = under.select(F.col("node").alias("other"), F.col("bottom").alias("node"), F.lit(1.0).alias("sign"))
+    signed = signed.union(upper.select("node").distinct().select(F.col("node").alias("other"), "node", F.lit(-1.0)))
+    off = base.join(signed, "node").groupBy("other", "origin", "h").agg(F.sum(F.col("sign") * F.col("point")).alias("off"))
+    multiplier = off.join(inverse, "other").groupBy("node", "origin", "h").agg(F.sum(F.col("w") * F.col("off")).alias("m"))
+    leaves = under.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("leaves"))
+    up = multiplier.join(leaves, "node").select("node", "origin", "h", (F.col("leaves") * F.col("m")).alias("shift"))
+    down = multiplier.join(under, "node").select(F.col("bottom").alias("node"), "origin", "h", (-F.col("m")).alias("shift"))
+    shifts = base.select("node", "origin", "h", "point").union(up).union(down)
+    return shifts.groupBy("node", "origin", "h").agg(F.sum("point").alias("point"))
