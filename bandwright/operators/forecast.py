@@ -144,3 +144,90 @@ def lag_regression(panel: DataFrame, lags: list[int], horizon: int, first: int,
             ahead = ahead + F.element_at("y", -k) * F.lit(w)
         state = state.withColumn("y", F.concat("y", F.array(ahead)))
     return state.select("node", "origin", F.posexplode(F.slice("y", -horizon, horizon)).alias("h", "point")).withColumn("h", F.col("h") + 1)
+
+
+def global_model(
+    panel: DataFrame, fit, horizon: int, first: int, last: int, refit_every: int | None = None, fit_periods: int = 365, lookback: int = 84, most: int = 1000, outputs: tuple[str, ...] = ("point",), seed: int = 0
+) -> DataFrame:
+    """(node, origin, h, outputs...) of one model for all series, from any library.
+
+    fit(frame of node, t, value) gives predict(values so far, horizon) -> [horizon] or [horizon, outputs].  It is
+    called at the first origin and, if refit_every is set, each so many origins later, with the last fit_periods
+    periods up to that origin of at most `most` series, chosen by hash: that bounds what the driver holds.  Every
+    series is forecast, on the executors, from its last `lookback` values.  Points must be finite.
+    """
+    if min(horizon, fit_periods, lookback, most) < 1 or (refit_every is not None and refit_every < 1):
+        raise ValueError("horizon, periods, lookback, series and refits must be at least 1")
+    chosen = panel.select("node").distinct().orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(most)
+    starts = [first] if refit_every is None else list(range(first, last + 1, refit_every))
+    schema = "node string, origin int, h int, " + ", ".join(f"{n} double" for n in outputs)
+
+    def runner(predict, at: int, after: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("t")
+            t, y, rows = pdf["t"].to_numpy(), pdf["value"].to_numpy(float), []
+            for o in t[(t >= at) & (t < after)]:
+                guess = np.asarray(predict(y[(t <= o) & (t > o - lookback)], horizon), float)
+                if guess.size != horizon * len(outputs) or len(guess) != horizon or not np.isfinite(guess).all():
+                    raise ValueError(f"the model gave {guess.shape} for {horizon} steps of {len(outputs)}, or values that are not finite")
+                rows += [(pdf["node"].iloc[0], int(o), h + 1, *map(float, g)) for h, g in enumerate(guess.reshape(horizon, -1))]
+            return pd.DataFrame(rows, columns=["node", "origin", "h", *outputs])
+
+        return run
+
+    every = None
+    for at, after in zip(starts, [*starts[1:], last + 1]):
+        taught = panel.filter(F.col("t").between(at - fit_periods + 1, at)).join(F.broadcast(chosen), "node", "left_semi")
+        predict = fit(taught.select("node", "t", "value").orderBy("node", "t").toPandas())
+        span = panel.filter(F.col("t").between(at - lookback + 1, after - 1)).select("node", "t", "value")
+        part = span.groupBy("node").applyInPandas(runner(predict, at, after), schema)
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def lag_network(n_lags: int, horizon: int, hidden: int = 16, steps: int = 400, rate: float = 0.01, quantiles: tuple[float, ...] = (0.5,), seed: int = 0):
+    """A fit function for global_model: one hidden layer on the last n_lags values, all steps at once, by pinball loss.
+
+    Windows are scaled by their mean size.  Quantile outputs of a step are put in order.  Batches are seeded.
+    """
+    q = np.asarray(quantiles, float)
+
+    def scale(x):
+        return np.maximum(np.abs(x).mean(-1, keepdims=True), 1e-8)
+
+    def fit(frame: pd.DataFrame):
+        windows = []
+        for _, own in frame.groupby("node", sort=True):
+            y = own["value"].to_numpy(float)
+            if len(y) >= n_lags + horizon:
+                windows.append(np.lib.stride_tricks.sliding_window_view(y, n_lags + horizon))
+        if not windows:
+            raise ValueError("no series is long enough for a window")
+        rows = np.concatenate(windows)
+        size = scale(rows[:, :n_lags])
+        x, y = rows[:, :n_lags] / size, rows[:, n_lags:, None] / size[..., None]
+        draw = np.random.default_rng(seed)
+        out = horizon * len(q)
+        layers = [draw.normal(0, n_lags**-0.5, (n_lags, hidden)), np.zeros(hidden), draw.normal(0, hidden**-0.5, (hidden, out)), np.zeros(out)]
+        first, second = [np.zeros_like(a) for a in layers], [np.zeros_like(a) for a in layers]
+        for k in range(1, steps + 1):
+            at = draw.integers(0, len(x), 128)
+            h = np.maximum(x[at] @ layers[0] + layers[1], 0)
+            error = y[at] - (h @ layers[2] + layers[3]).reshape(-1, horizon, len(q))
+            slope = np.where(error > 0, -q, 1 - q).reshape(len(at), out) / len(at)
+            back = (slope @ layers[2].T) * (h > 0)
+            for i, g in enumerate((x[at].T @ back, back.sum(0), h.T @ slope, slope.sum(0))):
+                first[i] = 0.9 * first[i] + 0.1 * g
+                second[i] = 0.999 * second[i] + 0.001 * g * g
+                layers[i] = layers[i] - rate * (first[i] / (1 - 0.9**k)) / (np.sqrt(second[i] / (1 - 0.999**k)) + 1e-8)
+
+        def predict(values: np.ndarray, ahead: int) -> np.ndarray:
+            if ahead != horizon or len(values) < n_lags:
+                raise ValueError(f"the network reads {n_lags} values and gives {horizon} steps")
+            last = np.asarray(values[-n_lags:], float)
+            h = np.maximum(last / scale(last) @ layers[0] + layers[1], 0)
+            return np.sort((h @ layers[2] + layers[3]).reshape(horizon, len(q)), axis=1) * scale(last)
+
+        return predict
+
+    return fit

@@ -82,19 +82,21 @@ def constraint_inverse(edge_rows: list[tuple[str, str, int]]) -> list[tuple[str,
     return [(names[a], names[b], float(inverse[a, b])) for a, b in zip(*np.nonzero(np.abs(inverse) > 1e-15))]
 
 
-def wls_struct(base: DataFrame, edge: DataFrame, most: int = 20_000) -> DataFrame:
+def wls_struct(base: DataFrame, edge: DataFrame, most: int = 20_000, most_edges: int = 5_000_000) -> DataFrame:
     """Coherent points nearest to the base points of all nodes: least squares with structural weights, the leaf counts.
 
     The system has one row for each node above the bottoms, and is inverted once, on the driver; over `most` such
-    nodes that is refused.  How far each node is from its bottoms' sum, the multipliers and the corrections are
+    nodes or `most_edges` edges that is refused.  How far each node is from its bottoms' sum, the multipliers and the corrections are
     joins and sums over the hierarchy's edges; no table of node pairs that include bottoms is made.
     """
-    upper = edge.filter("level > 0")
-    count = upper.select("node").distinct().count()
-    if count > most:
-        raise ValueError(f"{count} nodes above the bottoms; {most} at most")
-    rows = [tuple(r) for r in upper.select("node", "series", "level").collect()]
-    inverse = base.sparkSession.createDataFrame(constraint_inverse(rows), "node string, other string, w double")
+    rows = [tuple(r) for r in edge.filter("level > 0").select("node", "series", "level").limit(most_edges + 1).collect()]
+    count = len({n for n, _, _ in rows})
+    if count > most or len(rows) > most_edges:
+        raise ValueError(f"{count} nodes above the bottoms and {len(rows)} edges; {most} and {most_edges} at most")
+    spark = base.sparkSession
+    inverse = spark.createDataFrame(constraint_inverse(rows), "node string, other string, w double")
+    # the edges as read: they are not worked out again for each join
+    upper = spark.createDataFrame(rows, "node string, series string, level int")
     under = upper.select("node", F.col("series").alias("bottom"))
     # a node's own base point counts against it, each of its bottoms' for it
     signed = under.select(F.col("node").alias("other"), F.col("bottom").alias("node"), F.lit(1.0).alias("sign"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +17,8 @@ from ..sources import panel as panels
 
 SEASON, HORIZON, FIRST, LAST, WINDOW, LEVEL = 52, 4, 200, 349, 52, 0.9
 LEVELS = [["p_type"], ["r_name"]]
+#: Origins of the ledger query.
+CALLS = 8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -235,6 +239,13 @@ def fc_wls_window(spark, sf):
     return hierarchy.wls_struct(base, _edges(p))
 
 
+@query()
+def fc_global_network(spark, sf):
+    """Native quantiles of one small network for all bottoms, refitted each 75 origins."""
+    fit = forecast.lag_network(13, HORIZON, quantiles=(0.05, 0.5, 0.95))
+    return forecast.global_model(_bottoms(spark, sf), fit, HORIZON, FIRST, LAST, 75, 156, 13, outputs=("q_lo", "point", "q_hi"))
+
+
 @query()
 def fc_bootstrap(spark, sf):
     return forecast.bootstrap_ensemble(_bottoms(spark, sf), 4, FIRST, LAST)
@@ -531,17 +542,19 @@ def block_bootstrap(spark, sf):
     return cycles.join(F.broadcast(drawn), "cycle").groupBy("node", "replicate").agg((F.sum(F.col("loss") * F.col("times")) / F.sum("times")).alias("loss"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names, or in one of our own where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/bandwright/{name}-{uuid.uuid4().hex}"
+
+
 @query()
 def stream_tracker(spark, sf):
     """The tracker over the issues as a stream, in batches of origins, restarted from its own state."""
-    import tempfile
-    import uuid
-
     from ..streaming import online
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/bandwright/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     issues = _issues(_nodes(spark, sf)).filter("c = 1").select("node", F.col("c").cast("int").alias("c"), F.col("last_step").cast("int").alias("last_step"), F.col("origin").cast("int").alias("origin"), "score")
-    issues = issues.coalesce(1)
     for part in ("origin < 275", "origin >= 275"):
         issues.filter(part).write.mode("append").parquet(base + "/in")
         stream = online.track(spark.readStream.schema(issues.schema).parquet(base + "/in"), 0.9, 100.0)
@@ -552,6 +565,24 @@ def stream_tracker(spark, sf):
 ORACLE_SQL["stream_tracker"] = ORACLE_SQL["tracker_bound"]
 
 
+@query(f"SELECT * FROM ({ORACLE_SQL['tracker_bound']}) WHERE origin < {FIRST + CALLS}")
+def ledger_tracker(spark, sf):
+    """The tracker through the ledger: one call an origin, each from the table that the call before saved."""
+    from ..streaming import ledger
+
+    base, cover, make = _scratch(spark, "ledger"), ledger.per_step(1), lambda c: calibrate.Tracker(0.9, 100.0)
+    nodes = _nodes(spark, sf).filter(F.col("t").between(FIRST - SEASON, FIRST + CALLS)).persist()
+    state, out = ledger.initial_state(nodes.select("node").distinct(), cover, make), None
+    for o in range(FIRST, FIRST + CALLS):
+        points = forecast.seasonal_naive(nodes, SEASON, 1, o, o)
+        ledger.step(state, o, points, nodes.filter(F.col("t") == o), f"{base}/{o}", cover=cover, make=make)
+        state = ledger.load_state(spark, f"{base}/{o}")
+        made = ledger.issues(state).select("node", "origin", F.round("threshold", 6).alias("threshold"))
+        out = made if out is None else out.union(made)
+    nodes.unpersist()
+    return out
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage and width of split-conformal bands of weekly shipments, by step."""
     return metric_table(spark, sf)

@@ -6,7 +6,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from bandwright.operators import covariates, hierarchy
+from bandwright.operators import covariates, forecast, hierarchy
 from bandwright.sources import datasets
 
 
@@ -106,3 +106,30 @@ def test_reconciled_points_are_the_structural_least_squares(spark):
     assert got["total", 1] == pytest.approx(sum(got[s, 1] for s in "abcde"))
     with pytest.raises(ValueError):
         hierarchy.wls_struct(given, edge, most=2)
+
+
+def test_global_models_see_the_past_only(spark):
+    rows = [(n, t, float(np.sin(t * 0.7 + k) + 3)) for k, n in enumerate(("a", "b", "c")) for t in range(80)]
+    panel = spark.createDataFrame(rows, "node string, t int, value double")
+    seen = []
+
+    def fit(frame):
+        seen.append((frame["t"].min(), frame["t"].max(), frame["node"].nunique()))
+        shift = len(seen)
+        return lambda y, horizon: [y[-1] + shift] * horizon
+
+    got = {(r["node"], r["origin"], r["h"]): r["point"] for r in forecast.global_model(panel, fit, 2, 60, 65, 3, 10, 5, 2).collect()}
+    assert seen == [(51, 60, 2), (54, 63, 2)] and len(got) == 3 * 6 * 2
+    truth = {(n, t): v for n, t, v in rows}
+    assert all(p == pytest.approx(truth[n, o] + (1 if o < 63 else 2)) for (n, o, h), p in got.items())
+    with pytest.raises(ValueError):
+        forecast.global_model(panel, fit, 0, 60, 65)
+    with pytest.raises(Exception, match="the model gave"):
+        forecast.global_model(panel, lambda frame: lambda y, h: [1.0], 2, 60, 65).collect()
+
+    network = forecast.lag_network(9, 2, quantiles=(0.1, 0.5, 0.9))
+    made = forecast.global_model(panel, network, 2, 60, 75, None, 60, 9, outputs=("q_lo", "point", "q_hi")).collect()
+    errors = [abs(r["point"] - truth[r["node"], r["origin"] + r["h"]]) for r in made]
+    assert np.mean(errors) < 0.3 and all(r["q_lo"] <= r["point"] <= r["q_hi"] for r in made)
+    again = forecast.global_model(panel, network, 2, 60, 75, None, 60, 9, outputs=("q_lo", "point", "q_hi")).collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, again))
