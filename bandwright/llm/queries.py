@@ -74,8 +74,6 @@ QUERIES = {
     )
 }
 
-_WORDS = r"coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[^w]', '', 'g')), 0)"
-
 ORACLE_SQL = {
     "op2_warc_reassembly": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -85,4 +83,20 @@ ORACLE_SQL = {
                CASE WHEN page_id > head THEN head END AS refers_to
         FROM p LEFT JOIN h ON p.d = h.d AND p.n >= 100
     """,
+    "op9_nn_descent": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END
+        ), reach AS (
+            SELECT vec_id AS u, vec_id AS v FROM embeddings
+            UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+        ), least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+        degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = least.u LEFT JOIN degree ON vec_id = degree.u
+    """,
 }
