@@ -14,20 +14,17 @@ def edges(attributes: DataFrame, levels: list[list[str]]) -> DataFrame:
     attributes has series and the columns.  A node whose members are those of a bottom or an earlier node, or of
     the total, is left out; level numbers keep their places.  Labels are col=value, crossed ones joined by /.
     """
-    if attributes.groupBy("series").count().filter("count > 1").limit(1).count():
-        raise ValueError("series must be unique")
-    parts = [attributes.select(F.col("series").alias("node"), F.lit(0).alias("level"), "series")]
-    for k, cols in enumerate(levels, 1):
-        label = F.concat_ws("/", *[F.concat(F.lit(c + "="), F.col(c)) for c in cols])
-        parts.append(attributes.select(label.alias("node"), F.lit(k).alias("level"), "series"))
-    parts.append(attributes.select(F.lit("total").alias("node"), F.lit(len(levels) + 1).alias("level"), "series"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    cols = sorted({c for level in levels for c in level} - {"series"})
+    own = attributes.groupBy("series").agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in cols])
+    # checked where it is computed: a series that is there twice stops the query
+    own = own.withColumn("series", F.when(F.col("__n") == 1, F.col("series")).otherwise(F.raise_error(F.lit("series must be unique")).cast("string")))
+    top = len(levels) + 1
+    labels = [F.col("series"), *[F.concat_ws("/", *[F.concat(F.lit(c + "="), F.col(c)) for c in level]) for level in levels], F.lit("total")]
+    nodes = F.array(*[F.struct(label.cast("string").alias("node"), F.lit(k).alias("level")) for k, label in enumerate(labels)])
+    every = own.select(F.explode(nodes).alias("__x"), "series").select("__x.node", "__x.level", "series")
     # a member set is known by its size and two sums of hashes, which are added up before any exchange
     mark = lambda salt: F.sum(F.xxhash64("series", F.lit(salt)).cast("decimal(38,0)"))
     members = every.groupBy("node", "level").agg(F.struct(F.count(F.lit(1)), mark(1), mark(2)).alias("print"))
-    top = len(levels) + 1
     first = Window.partitionBy("print").orderBy(F.when(F.col("level") == 0, 0).when(F.col("level") == top, 1).otherwise(2), "level", "node")
     kept = members.select("*", F.row_number().over(first).alias("r")).filter(f"r = 1 or level = 0 or level = {top}").select("node", "level")
     return every.join(kept, ["node", "level"])

@@ -133,3 +133,9 @@ def test_global_models_see_the_past_only(spark):
     assert np.mean(errors) < 0.3 and all(r["q_lo"] <= r["point"] <= r["q_hi"] for r in made)
     again = forecast.global_model(panel, network, 2, 60, 75, None, 60, 9, outputs=("q_lo", "point", "q_hi")).collect()
     assert sorted(map(tuple, made)) == sorted(map(tuple, again))
+
+
+def test_a_series_has_one_set_of_attributes(spark):
+    twice = spark.createDataFrame([("a", "x"), ("a", "y")], "series string, g string")
+    with pytest.raises(Exception, match="series must be unique"):
+        hierarchy.edges(twice, [["g"]]).collect()
