@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -542,18 +540,12 @@ def block_bootstrap(spark, sf):
     return cycles.join(F.broadcast(drawn), "cycle").groupBy("node", "replicate").agg((F.sum(F.col("loss") * F.col("times")) / F.sum("times")).alias("loss"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names, or in one of our own where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/bandwright/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def stream_tracker(spark, sf):
     """The tracker over the issues as a stream, in batches of origins, restarted from its own state."""
     from ..streaming import online
 
-    base = _scratch(spark, "stream")
+    base = panels.scratch(spark, "stream")
     issues = _issues(_nodes(spark, sf)).filter("c = 1").select("node", F.col("c").cast("int").alias("c"), F.col("last_step").cast("int").alias("last_step"), F.col("origin").cast("int").alias("origin"), "score")
     for part in ("origin < 275", "origin >= 275"):
         issues.filter(part).write.mode("append").parquet(base + "/in")
@@ -570,7 +562,7 @@ def ledger_tracker(spark, sf):
     """The tracker through the ledger: one call an origin, each from the table that the call before saved."""
     from ..streaming import ledger
 
-    base, cover, make = _scratch(spark, "ledger"), ledger.per_step(1), lambda c: calibrate.Tracker(0.9, 100.0)
+    base, cover, make = panels.scratch(spark, "ledger"), ledger.per_step(1), lambda c: calibrate.Tracker(0.9, 100.0)
     nodes = _nodes(spark, sf).filter(F.col("t").between(FIRST - SEASON, FIRST + CALLS)).persist()
     state, out = ledger.initial_state(nodes.select("node").distinct(), cover, make), None
     for o in range(FIRST, FIRST + CALLS):

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names, or in one of our own where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bandwright-")
+    return f"{base.rstrip('/')}/bandwright/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,8 +31,9 @@ def complete(long: DataFrame, period: str, unit: str, step: str, attributes: lis
     """(series, attributes..., t, period, value): every series on every period from first to last.
 
     long has `value` and a timestamp to truncate to `unit`.  Missing cells get `fill`; None leaves them missing.
+    The summed cells, series x periods at most, are written once: long is read in one pass, whatever follows.
     """
-    cells = long.groupBy(*attributes, F.date_trunc(unit, period).alias("period")).agg(F.sum("value").alias("value"))
+    cells = kept(long.groupBy(*attributes, F.date_trunc(unit, period).alias("period")).agg(F.sum("value").alias("value")), "cells")
     ends = cells.agg(F.min("period").alias("a"), F.max("period").alias("b"))
     span = F.sequence(F.col("a"), F.col("b"), F.expr(f"interval {step}"))
     # the calendar is one row that every series explodes: series x periods rows, which is what a panel has
