@@ -53,13 +53,17 @@ def fingerprint(text: bytes | None, words_each: int, seed: int = 42) -> int:
 def wide_fingerprint(text: bytes | None, words_each: int, bands: int, rows: int, seed: int = 42) -> tuple[bytes, list[int]]:
     """A fingerprint of WIDE words of 64 bits, followed by a sketch, and `bands` keys.
 
-    The sketch has 16 bits of the least hash in each of BINS ranges of the hashes, 0 for none.  A key stands for the
+    All of them are of the set of the shingles: a repeated one counts once.  The sketch has 16 bits of the least hash in each of BINS ranges of the hashes, 0 for none.  A key stands for the
     least of `rows` hashes of the shingles: texts of Jaccard similarity s share it with chance s ** rows.
     """
     sketch = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
     set_in, total = np.zeros((WIDE, BITS), np.int64), 0
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for values in shingle_hashes(text, words_each, seed):
+    blocks = list(shingle_hashes(text, words_each, seed))
+    distinct = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+    del blocks
+    for at in range(0, len(distinct), 1 << 16):
+        values = distinct[at : at + (1 << 16)]
         for k in range(WIDE):
             mixed = (values ^ (values >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
             set_in[k] += _bits_set(mixed ^ (mixed >> np.uint64(29)))
