@@ -227,26 +227,44 @@ def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float)
     return out
 
 
+def _variant_pairs(i: np.ndarray, j: np.ndarray, count: np.ndarray, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of pairs (i, j) of distinct fingerprints, and of the rows of one fingerprint, `step` at a time.
+
+    Rows are in order of fingerprint, count[k] of them with the k-th.
+    """
+    many = np.flatnonzero(count > 1)
+    i, j, start = np.concatenate([i, many]), np.concatenate([j, many]), np.cumsum(count) - count
+    ends = np.cumsum(count[i] * count[j])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        flat = np.arange(at, min(at + step, ends[-1]))
+        pair = np.searchsorted(ends, flat, side="right")
+        flat -= ends[pair] - count[i[pair]] * count[j[pair]]
+        u, v = start[i[pair]] + flat // count[j[pair]], start[j[pair]] + flat % count[j[pair]]
+        once = (i[pair] != j[pair]) | (u < v)
+        yield u[once], v[once]
+
+
 def _group_forest(value: np.ndarray, sketch: np.ndarray, ids: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v): a spanning forest of the links between some wide fingerprints."""
+    """(u, v): a spanning forest of the links between some wide fingerprints, equal ones with other sketches among them."""
     order = np.lexsort(value.T[::-1])
     value, sketch, ids = value[order], sketch[order], ids[order]
     if len(ids) <= LEAF:
         i, j = np.triu_indices(len(ids), 1)
         close = np.bitwise_count(value[i] ^ value[j]).sum(1) <= budget
-        i, j = i[close], j[close]
+        parts = [(i[close], j[close])]
     else:
-        i, j = trie_pairs(value, None, 0, budget)
-        equal = np.flatnonzero((value[1:] == value[:-1]).all(1))
-        i, j = np.concatenate([i, equal]), np.concatenate([j, equal + 1])
-    alike = _alike(sketch, i, j, similarity)
-    i, j = i[alike], j[alike]
-    if not len(i):
-        return ids[:0], ids[:0]
+        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]).any(1)]))
+        parts = _variant_pairs(*trie_pairs(value[first], None, 0, budget), np.diff(np.append(first, len(ids))))
     rank = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[rank] = np.arange(len(ids))
-    label = least_labels(len(ids), place[i], place[j])
+    label = np.arange(len(ids))
+    for i, j in parts:
+        apart = label[place[i]] != label[place[j]]
+        i, j = i[apart], j[apart]
+        alike = _alike(sketch, i, j, similarity)
+        if alike.any():
+            label = least_labels(len(ids), label[place[i[alike]]], label[place[j[alike]]])[label]
     moved = np.flatnonzero(label != np.arange(len(ids)))
     return ids[rank][moved], ids[rank][label[moved]]
 

@@ -42,3 +42,28 @@ def test_near_copies_with_repeated_lines_leave_one(spark):
     expected = {j for j in range(len(texts)) if not any(b == j for _, b in alike)}
     assert len(expected) == 5
     assert {r["doc_id"] for r in simhash.keep_one_of_each(documents(spark, list(enumerate(texts)))).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [40, 60, 300])
+def test_a_group_with_equal_fingerprints_links_as_brute_force(n):
+    draw = np.random.default_rng(n)
+    for _ in range(10):
+        base = draw.integers(0, 2**64, (n // 5, simhash.WIDE), np.uint64)
+        value = base[draw.integers(0, len(base), n)]
+        flip = np.flatnonzero(draw.random(n) < 0.3)
+        value[flip, 0] ^= np.uint64(1) << draw.integers(0, 64, len(flip)).astype(np.uint64)
+        sketch = draw.integers(1, 1 << 16, (3, simhash.BINS)).astype(np.uint16)[draw.integers(0, 3, n)]
+        ids = draw.permutation(n).astype(np.int64) * 3
+        i, j = np.triu_indices(n, 1)
+        linked = (np.bitwise_count(value[i] ^ value[j]).sum(1) <= 50) & ((sketch[i] == sketch[j]).mean(1) >= 0.8)
+        rank = ids // 3
+        expected = simhash.least_labels(n, rank[i[linked]], rank[j[linked]])
+        u, v = simhash._group_forest(value, sketch, ids, 50, 0.8)
+        assert (simhash.least_labels(n, u // 3, v // 3) == expected).all()
+
+
+def test_variant_pairs_come_once_in_any_step():
+    count = np.array([3, 1, 2])
+    for step in (1, 2, 5, 100):
+        got = [(int(a), int(b)) for u, v in simhash._variant_pairs(np.array([0, 2]), np.array([1, 0]), count, step) for a, b in zip(u, v)]
+        assert sorted(map(sorted, got)) == [[0, 1], [0, 2], [0, 3], [0, 4], [0, 5], [1, 2], [1, 3], [1, 4], [1, 5], [2, 3], [2, 4], [2, 5], [4, 5]]
