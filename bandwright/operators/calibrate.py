@@ -327,41 +327,62 @@ def fold(issues: DataFrame, make, two_sided: bool, seed_rows: int = 0) -> DataFr
     return issues.join(slim.groupBy("node", "c").applyInPandas(run, schema), ["node", "c", "origin"])
 
 
-def spci(issues: DataFrame, level: float, window: int, n_lags: int, least: int = 20, trees: int = 20, depth: int = 5, leaf: int = 5, grid: int = 21, seed: int = 0) -> DataFrame:
-    """issues with `t_lo`, `t_hi`: the shortest interval of errors weighted by a quantile forest on the last errors.
+def leaf_shares(x: np.ndarray, y: np.ndarray, query: np.ndarray, bags: np.ndarray, depth: int, leaf: int) -> np.ndarray:
+    """Weight of each training row: the mean over trees of its share of the query's leaf, all training rows in it alike.
 
-    A training pair's lags were known when it was issued.  Cells with fewer than `least` pairs are not ready.
+    bags (trees, rows): how often a tree drew a row.  A split takes the feature and place of least squared error in the
+    bag, with `leaf` different drawn rows on each side at least.  Trees are grown together, along the query's path only.
     """
+    trees, n, features = len(bags), len(y), x.shape[1]
+    order = np.argsort(x, axis=0, kind="stable").T
+    v = np.take_along_axis(x.T, order, 1)
+    here, growing = np.ones((trees, n), bool), np.arange(trees)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(depth):
+            held = here[growing] & (bags[growing] > 0)
+            mixed = np.where(held, y, -np.inf).max(1) > np.where(held, y, np.inf).min(1)
+            growing, held = growing[mixed], held[mixed]
+            if not len(growing):
+                break
+            w = np.where(held, bags[growing], 0)[:, order]
+            drawn = w > 0
+            n_left, w_left, s_left = drawn.cumsum(2), w.cumsum(2), (w * y[order]).cumsum(2)
+            after = np.minimum.accumulate(np.where(drawn, v, np.inf)[:, :, ::-1], 2)[:, :, ::-1]
+            after = np.concatenate([after[:, :, 1:], np.full((len(growing), features, 1), np.inf)], 2)
+            ok = drawn & (after > v) & (n_left >= leaf) & (n_left[:, :, -1:] - n_left >= leaf)
+            gain = np.where(ok, s_left**2 / w_left + (s_left[:, :, -1:] - s_left) ** 2 / (w_left[:, :, -1:] - w_left), -np.inf).reshape(len(growing), -1)
+            # features that part the drawn rows alike differ by rounding only: the first of them
+            best, rows = (gain >= gain.max(1, keepdims=True) * (1 - 1e-12)).argmax(1), np.flatnonzero(ok.any((1, 2)))
+            growing, f, k = growing[rows], best[rows] // n, best[rows] % n
+            low, high = v[f, k], after[rows, f, k]
+            at = np.where((low + high) / 2 < high, (low + high) / 2, low)[:, None]
+            here[growing] &= (x.T[f] <= at) == (query[f][:, None] <= at)
+    return (here / here.sum(1, keepdims=True)).mean(0)
+
+
+def shortest_weighted(y: np.ndarray, w: np.ndarray, level: float, grid: int) -> tuple[float, float]:
+    """The shortest interval between weighted empirical quantiles that are `level` apart; ties: the first of the grid."""
+    y, w = y[w > 0], w[w > 0]
+    order = np.argsort(y, kind="stable")
+    y, w = y[order], w[order]
+    beta = np.linspace(0, 1, grid) * (1 - level)
+    q = np.clip(np.stack([beta, level + beta]), 0, 1)
+    if (w == w[0]).all():
+        rank = np.clip(np.ceil(len(y) * q).astype(np.int64) - 1, 0, len(y) - 1)
+    else:
+        cum = np.cumsum(w / w.max())
+        rank = np.minimum(np.searchsorted(cum / cum[-1], q), len(y) - 1)
+    lo, hi = y[rank]
+    best = int(np.argmin(hi - lo))
+    return float(lo[best]), float(hi[best])
+
+
+def spci(issues: DataFrame, level: float, window: int, n_lags: int, least: int = 20, trees: int = 100, depth: int = 5, leaf: int = 5, grid: int = 21, seed: int = 0) -> DataFrame:
+    """issues with `t_lo`, `t_hi`: the shortest interval of errors weighted by a quantile forest on the last errors.
 
-    def grow(x, y, draw, rows, level_):
-        if level_ == 0 or len(rows) < 2 * leaf:
-            return rows
-        best = None
-        for f in draw.permutation(x.shape[1])[: max(1, x.shape[1] // 3)]:
-            order = rows[np.argsort(x[rows, f], kind="stable")]
-            v, s = x[order, f], np.cumsum(y[order])
-            n = np.arange(1, len(order))
-            ok = (v[1:] > v[:-1]) & (n >= leaf) & (len(order) - n >= leaf)
-            if ok.any():
-                gain = np.where(ok, s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(order) - n), -np.inf)
-                k = int(gain.argmax())
-                if best is None or gain[k] > best[0]:
-                    best = (gain[k], f, (v[k] + v[k + 1]) / 2)
-        if best is None:
-            return rows
-        _, f, at = best
-        below = x[rows, f] <= at
-        return (f, at, grow(x, y, draw, rows[below], level_ - 1), grow(x, y, draw, rows[~below], level_ - 1))
-
-    def weights(x, y, query, draw):
-        w = np.zeros(len(y))
-        for _ in range(trees):
-            bag = draw.integers(0, len(y), len(y))
-            node = grow(x, y, draw, bag, depth)
-            while isinstance(node, tuple):
-                node = node[2] if query[node[0]] <= node[1] else node[3]
-            w += np.bincount(node, minlength=len(y)) / len(node)
-        return w / trees
+    Pairs and their lags are of the last `window` errors; a pair's lags were known when it was issued.  Cells with
+    fewer than `least` pairs are not ready.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("origin")
@@ -370,24 +391,16 @@ def spci(issues: DataFrame, level: float, window: int, n_lags: int, least: int =
         u_ok, e_ok = u[fine], e[fine]
         for o in u:
             n = int((u_ok + last <= o).sum())
-            known_u, known_e = u_ok[:n][-window:], e_ok[:n]
-            pairs = []
-            for k in range(max(0, n - window), n):
-                m = int((u_ok[:n] + last <= u_ok[k]).sum())
-                if m >= n_lags:
-                    pairs.append((known_e[m - n_lags : m], known_e[k]))
-            if len(pairs) < least or n < n_lags:
+            known_u, known_e = u_ok[max(0, n - window) : n], e_ok[max(0, n - window) : n]
+            ends = np.searchsorted(known_u, known_u - last, side="right")
+            ready = ends >= n_lags
+            if len(known_e) < n_lags + least or ready.sum() < least:
                 rows.append((o, None, None, False))
                 continue
-            x, y = np.array([p for p, _ in pairs]), np.array([v for _, v in pairs])
-            w = weights(x, y, known_e[n - n_lags : n], np.random.default_rng([seed, int(o)]))
-            order = np.argsort(y, kind="stable")
-            y, cum = y[order], np.cumsum(w[order])
-            cum /= cum[-1]
-            at = lambda q: y[min(int(np.searchsorted(cum, q - 1e-12)), len(y) - 1)]
-            options = [(at(level + b) - at(b), k, at(b), at(level + b)) for k, b in enumerate(np.linspace(0, 1, grid) * (1 - level))]
-            _, _, lo, hi = min(options)
-            rows.append((o, float(lo), float(hi), True))
+            x, y = known_e[ends[ready, None] + np.arange(-n_lags, 0)], known_e[ready]
+            draws = np.random.default_rng([seed, int(o)]).integers(0, len(y), (trees, len(y)))
+            bags = np.stack([np.bincount(d, minlength=len(y)) for d in draws])
+            rows.append((o, *shortest_weighted(y, leaf_shares(x, y, known_e[-n_lags:], bags, depth, leaf), level, grid), True))
         out = pd.DataFrame(rows, columns=["origin", "t_lo", "t_hi", "ready"])
         out.insert(0, "c", pdf.c.iloc[0])
         out.insert(0, "node", pdf.node.iloc[0])

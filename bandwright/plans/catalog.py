@@ -443,8 +443,7 @@ def pid_band(spark, sf):
 
 @query()
 def spci_interval(spark, sf):
-    issues = _issues(_nodes(spark, sf), scores.SIGNED).filter("c = 1 and node in ('total', 'r_name=ASIA', 'r_name=EUROPE')")
-    return calibrate.spci(issues, LEVEL, 64, 4).select("node", "c", "origin", "ready", "t_lo", "t_hi")
+    return calibrate.spci(_issues(_nodes(spark, sf), scores.SIGNED), LEVEL, 64, 4).select("node", "c", "origin", "ready", "t_lo", "t_hi")
 
 
 # ---------------------------------------------------------------- metrics and decisions
