@@ -9,15 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import byte_chunks, byte_values, fold, small_batches
+from .shared import byte_chunks, byte_values, cut, fold, small_batches
 
 ORDER = 3
 PAD = b"\n" * ORDER
 CHUNK = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_MODELS: dict[str, Model] = {}
+_MODELS: dict[str, list[Model]] = {}
 
 
 def _grams(buffer: np.ndarray) -> np.ndarray:
@@ -77,27 +78,46 @@ def gather_counts(docs: DataFrame, text_col: str, lang_col: str, hold: int = 1 <
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def kept_counts(counts: DataFrame, contexts: int) -> DataFrame:
+    """(lang, order, code, n): counts after contexts of 1 to ORDER bytes, those of over one byte the `contexts` commonest of each language."""
+    counts = cut(counts, "byte-counts")
+    out = None
+    for k in range(1, ORDER + 1):
+        code = F.col("code").bitwiseAND(F.lit((1 << (8 * k + 8)) - 1))
+        own = counts.groupBy("lang", code.alias("code")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8))
+        if k > 1:
+            most = Window.partitionBy("lang").orderBy(F.desc("weight"), "context")
+            weights = own.groupBy("lang", "context").agg(F.sum("n").alias("weight"))
+            best = weights.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= contexts)
+            own = own.join(best.select("lang", "context"), ["lang", "context"], "left_semi")
+        own = own.select("lang", F.lit(k).alias("order"), "code", "n")
+        out = own if out is None else out.union(own)
+    return out
+
+
 class Model:
     """Context trees of every language as tables: node of each context, and bits for each byte after it.
 
     A node of the longest context that was kept; a context that was not kept leads to its longest kept suffix.
     Probabilities follow escape method C with exclusion: seen bytes share n / (n + q) by count, and q / (n + q),
     q the number of different bytes seen, goes to the others in the shorter context's proportions.  Below order
-    0 all 256 bytes are alike.
+    0 all 256 bytes are alike.  orders: the order that each row counts for, rows of order 1 for order 0 too; None:
+    every row counts for all.
     """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, contexts: int):
+    def __init__(self, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, contexts: int, orders: np.ndarray | None = None):
         self.langs = langs
+        counts_for = [np.ones(len(code), bool) if orders is None else orders == max(1, k) for k in range(ORDER + 1)]
         code = code.astype(np.int64)
         context = {k: (code >> 8) & ((1 << (8 * k)) - 1) for k in range(ORDER + 1)}
         keep: dict[int, np.ndarray] = {}
         for k in range(2, ORDER + 1):
-            ids, inverse = np.unique(context[k], return_inverse=True)
-            weight = np.bincount(inverse, n, len(ids))
+            ids, inverse = np.unique(context[k][counts_for[k]], return_inverse=True)
+            weight = np.bincount(inverse, n[counts_for[k]], len(ids))
             keep[k] = np.sort(ids[np.lexsort((ids, -weight))[:contexts]])
         first = {0: 0, 1: 1, 2: 257, 3: 257 + len(keep[2])}
         total = first[3] + len(keep[3])
-        self.two = 1 + (np.arange(1 << 16) & 255)
+        self.two = (1 + (np.arange(1 << 16) & 255)).astype(np.int32)
         self.two[keep[2]] = first[2] + np.arange(len(keep[2]))
         # the third byte back leads on from a kept context of two bytes, by that context's place
         self.place = np.full(1 << 16, -1, np.int64)
@@ -112,9 +132,9 @@ class Model:
         bits = np.empty((total * 256, len(langs)), np.float32)
         symbol = code & 255
         for which in range(len(langs)):
-            own = lang == which
             p = np.empty((total, 256))
             for k in range(ORDER + 1):
+                own = (lang == which) & counts_for[k]
                 if k < 2:
                     node, ok = first[k] + context[k][own], np.ones(own.sum(), bool)
                     size = 1 if k == 0 else 256
@@ -150,7 +170,7 @@ class Model:
                 two = (part[1:-2] << 8) | part[2:-1]
                 place = self.place[two]
                 node = np.where(place >= 0, self.three[np.maximum(place, 0), part[:-3]] if len(self.three) else 0, self.two[two])
-                sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits[node * 256 + part[3:]], 0, dtype=np.float64)])
+                sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits[node.astype(np.int64) * 256 + part[3:]], 0, dtype=np.float64)])
                 begin, end = np.clip(starts - lo, 0, hi - lo), np.clip(starts + sizes - lo, 0, hi - lo)
                 out[a:b] += sums[end] - sums[begin]
         return out
@@ -168,27 +188,24 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    contexts: int = 4096,
-    codes: int = 2_000_000,
+    contexts: int = 8192,
     carry: list[str] | None = None,
     keep_text: bool = False,
 ) -> DataFrame:
     """(id_col, carry..., lang_pred, score) for every row of docs; languages are learned from train alone.
 
-    Counts come from every text of train.  Of them the model holds, in all languages together, the contexts
-    longest kept: the `contexts` most frequent of each order, out of the `codes` most frequent byte strings.
+    Counts come from every text of train.  Each language has a tree of its own, of its `contexts` most frequent contexts
+    of two and of three bytes and all shorter ones, with all their counts: no language takes another's room.
     lang_pred is the language whose tree codes the whole text in the fewest bits (ties: the first by name),
     score its posterior under equal priors.  Null text, text without a letter, or nothing to learn from: `und`
     with score 0.  carry: columns of docs passed through untouched; keep_text: the text too.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = gather_counts(train, text_col, lang_col)
-    table = counts.orderBy(F.desc("n"), "lang", "code").limit(codes).toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in table.column("lang").to_pylist()], np.int32)
-    sent = spark.sparkContext.broadcast((langs, lang, table.column("code").to_numpy().astype(np.uint32), table.column("n").to_numpy()))
+    table = kept_counts(gather_counts(train, text_col, lang_col), contexts).toArrow().combine_chunks()
+    name, code, orders, n = (table.column(c).to_numpy() for c in ("lang", "code", "order", "n"))
+    langs = sorted(set(name))
+    sent = spark.sparkContext.broadcast([(x, code[name == x].astype(np.uint32), n[name == x], orders[name == x]) for x in langs])
     key, carry, kept_from = uuid.uuid4().hex, carry or [], 0 if keep_text else 1
     named = text_col if keep_text else "__text"
 
@@ -200,8 +217,8 @@ def identify(
             if good:
                 if key not in _MODELS:
                     _MODELS.clear()
-                    _MODELS[key] = Model(*sent.value, contexts)
-                bits = _MODELS[key].lengths([texts[i] for i in good])
+                    _MODELS[key] = [Model([x], np.zeros(len(c), np.int8), c, n, contexts, k) for x, c, n, k in sent.value]
+                bits = np.concatenate([m.lengths([texts[i] for i in good]) for m in _MODELS[key]], 1)
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.minimum(0, bits[np.arange(len(good)), best][:, None] - bits)).sum(1)
                 for i, which, s in zip(good, best, share):
