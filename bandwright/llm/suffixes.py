@@ -1,13 +1,16 @@
-"""Removal of bytes under long strings that start more than once.
+"""Removal of bytes under long strings that start more than once, by a difference cover of the suffixes.
 
-A sample of positions that two equal strings always share takes the place of a fixed difference cover: equal
-strings of `length` bytes hold the same anchor, their gram of least hash, at the same offset.  So suffixes need
-only be compared with those that share an anchor, and only up to `length` bytes.
+Suffixes matter only up to `length` bytes, so the sort of a suffix array stops there.  Places whose residue is in a
+difference cover are sampled: any two places have a shift, less than the period, that takes both to sampled ones.
+Tuples at sampled places are named and sorted; names recur on names, two to a name; names that occur once are
+discarded with every suffix that leans on them; the suffixes left are merged by all bytes around their sampled
+place, and, where these differ, by their prefixes of `length` bytes: equal neighbours in that order are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,118 +18,235 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_values, cut, numbered
-
-GRAM = 64
-CHUNK = 1 << 19
-BLOCK = 32
-_TABLE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place, by doubling; shorter by GRAM - 1 than data."""
-    h = _TABLE[data]
-    step = 1
-    while step < GRAM:
-        h = h[:-step] * _M + (h[step:] ^ (h[step:] >> np.uint64(29)))
-        h ^= h >> np.uint64(32)
-        step *= 2
-    return h
-
-
-def least_places(h: np.ndarray, width: int) -> np.ndarray:
-    """For each place the first place of the least hash (its high 40 bits) among width from there on."""
-    key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-    span = 1
-    while span * 2 <= width:
-        key = np.minimum(key[:-span], key[span:])
-        span *= 2
-    if span < width:
-        n = len(key) - (width - span)
-        key = np.minimum(key[:n], key[width - span : width - span + n])
-    return (key & np.uint64(0xFFFFFF)).astype(np.int64)
-
-
-def anchor_runs(text: bytes, length: int) -> list[tuple[int, int, int]]:
-    """(first, last, anchor): starts of strings of `length` bytes, as runs that share their anchor."""
-    out: list[tuple[int, int, int]] = []
-    starts = len(text) - length + 1
-    for at in range(0, max(0, starts), CHUNK):
-        end = min(at + CHUNK, starts)
-        data = np.frombuffer(text, np.uint8, end - at + length - 1, at)
-        place = least_places(gram_hashes(data), length - GRAM + 1)
-        edge = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-        runs = [(at + int(a), at + int(b) - 1, at + int(place[a])) for a, b in zip(edge[:-1], edge[1:])]
-        if out and runs and out[-1][2] == runs[0][2]:
-            runs[0] = (out.pop()[0], runs[0][1], runs[0][2])
-        out += runs
-    return out
-
-
-def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(row, p1, p2, anchor, gram, context): context is a digest of all bytes under a run's strings."""
-
-    def find(batches):
-        for batch in batches:
-            rows, firsts, lasts, anchors, grams, contexts = [], [], [], [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                for p1, p2, a in anchor_runs(text, length):
-                    rows.append(row)
-                    firsts.append(p1)
-                    lasts.append(p2)
-                    anchors.append(a)
-                    grams.append(xxhash.xxh3_64_intdigest(text[a : a + GRAM]) - (1 << 63))
-                    contexts.append(xxhash.xxh3_128_digest(text[p1 : p2 + length]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(grams, pa.int64()), pa.array(contexts, pa.binary())], ["row", "p1", "p2", "anchor", "gram", "context"])
+from .shared import byte_values, cut, discard, numbered, small_batches, whole_groups
 
-    return docs.filter(F.octet_length("text") >= length).mapInArrow(find, "row long, p1 long, p2 long, anchor long, gram long, context binary")
+#: Names that a task collects before it gives them away, and about how many meet in a task.
+CHUNK, MEET = 1 << 20, 1 << 21
+ENTRIES, KNOWN, RUNS = 0, 1, 2
+_RECORD = "part int, tag int, row long, names binary, rows binary, places binary"
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _blocks(docs: DataFrame, length: int) -> DataFrame:
-    """(row, p1, p2, core, whole): each run's starts in blocks of BLOCK offsets from the anchor.
+def difference_cover(most: int) -> tuple[int, list[int]]:
+    """(period, residues): every number below the period is a difference of two residues, modulo the period.
 
-    core is a digest of bytes that every string of such offsets holds, whole one of all bytes under the block's.
+    The period is q * q + q + 1 for the largest prime q that keeps it within most, and the residues are q + 1: the
+    powers of a root of a cubic over q that lie in a plane.
+    """
+    primes = [q for q in range(2, 1 + int(max(0, most) ** 0.5)) if all(q % p for p in range(2, q)) and q * q + q + 1 <= most]
+    if not primes:
+        raise ValueError("strings of 20 bytes at least are compared")
+    q = primes[-1]
+    period = q * q + q + 1
+    for a, b, c in product(range(q), range(q), range(1, q)):
+        power, found = (1, 0, 0), []
+        for i in range(period):
+            if power[2] == 0:
+                found.append(i)
+            power = (power[2] * c % q, (power[0] + power[2] * b) % q, (power[1] + power[2] * a) % q)
+        if len(found) == q + 1 and len({(i - j) % period for i in found for j in found}) == period:
+            return period, found
+    raise AssertionError(f"no difference cover of {period}")
+
+
+def _of_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The name of two names one after the other."""
+    h = (x ^ (x >> np.uint64(32))) * _M1 + y
+    h = (h ^ (h >> np.uint64(29))) * _M2
+    return h ^ (h >> np.uint64(32))
+
+
+def tuple_names(text: bytes, period: int, residue: int, seed: int = 0) -> np.ndarray:
+    """Names of the tuples of `period` bytes at residue, residue + period and so on."""
+    name = xxhash.xxh3_64_intdigest
+    return np.array([name(text[a : a + period], seed) for a in range(residue, len(text) - period + 1, period)], np.uint64)
+
+
+def _records(names: list[np.ndarray], rows: list[tuple[int, int]], places: list[np.ndarray] | None, parts: int, turn: int) -> pa.RecordBatch:
+    """Names (n, words) of rows (row, how many) for the parts they are sorted in.
+
+    Names that occur twice here are known repeats: their places go on as such, and one of each name to its part, its
+    row inverted to say so.  A name stands for its own place where there are no places.
     """
+    name = np.concatenate(names)
+    row = np.repeat(np.array([r for r, _ in rows], np.int64), [n for _, n in rows])
+    place = name[:, 0] if places is None else np.concatenate(places)
+    order = np.lexsort(name.T[::-1])
+    ranked = name[order]
+    same = (ranked[1:] == ranked[:-1]).all(1)
+    again, before = np.concatenate([[False], same]), np.concatenate([same, [False]])
+    twice = np.empty(len(name), bool)
+    twice[order] = again | before
+    out: list[tuple] = []
+    own = np.flatnonzero(twice)
+    for at in np.split(own, np.flatnonzero(np.diff(row[own])) + 1) if len(own) else []:
+        out.append((turn % parts, KNOWN, int(row[at[0]]), b"", b"", place[at].tobytes()))
+    heads = order[before & ~again]
+    kept = np.concatenate([np.flatnonzero(~twice), heads])
+    row[heads] = ~row[heads]
+    part = (((name[kept, 0] >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    kept, part = kept[by], part[by]
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b > a:
+            at = kept[a:b]
+            out.append((int(part[a]), ENTRIES, None, name[at].tobytes(), row[at].tobytes(), b"" if places is None else place[at].tobytes()))
+    return _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _RECORD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+class _Sorter:
+    """Collects names and gives records of them, CHUNK names at a time."""
+
+    def __init__(self, parts: int, with_places: bool):
+        self.parts, self.with_places, self.turn = parts, with_places, 0
+        self._clear()
+
+    def _clear(self):
+        self.names, self.rows, self.places, self.n = [], [], [] if self.with_places else None, 0
+
+    def add(self, row: int, names: np.ndarray, places: np.ndarray | None = None):
+        if len(names):
+            self.names.append(names)
+            self.rows.append((row, len(names)))
+            self.n += len(names)
+            if self.with_places:
+                self.places.append(places.astype(np.uint64))
+
+    def full(self, least: int = CHUNK):
+        if self.n >= max(1, least):
+            self.turn += 1
+            yield _records(self.names, self.rows, self.places, self.parts, self.turn * 7919)
+            self._clear()
+
+
+def _lists(tag: int, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """(tag, row, places): the places of each row as one packed list."""
+    by = np.argsort(row, kind="stable")
+    row, place = row[by], place[by]
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
+    lists = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends) - 1, tag, np.int32)), pa.array(row[ends[:-1]]), lists], ["tag", "row", "places"])
+
+
+def _repeated(records: DataFrame, words: int, name: str) -> DataFrame:
+    """(row, places, runs), packed lists: places, or names, of a row whose name occurs more than once.
+
+    runs: where names that differ begin with the same word, one place of each name.
+    """
+
+    def meet(batches):
+        for table, at in whole_groups(batches, ["part"]):
+            for a, b in zip(at[:-1], at[1:]):
+                group = table.slice(a, b - a)
+                tags = group.column("tag").to_numpy()
+                entries, passed = group.filter(pa.array(tags == ENTRIES)), group.filter(pa.array(tags != ENTRIES))
+                if len(passed):
+                    yield pa.RecordBatch.from_arrays([passed.column(c).combine_chunks() for c in ("tag", "row", "places")], ["tag", "row", "places"])
+                if not len(entries):
+                    continue
+                names, rows, places = (np.frombuffer(b"".join(entries.column(c).to_pylist()), kind) for c, kind in (("names", np.uint64), ("rows", np.int64), ("places", np.uint64)))
+                names = names.reshape(-1, words)
+                order = np.lexsort(names.T[::-1])
+                names, rows, places = names[order], rows[order], (places if len(places) else names[:, 0])[order]
+                first = np.concatenate([[True], (names[1:] != names[:-1]).any(1)])
+                kind, told = np.cumsum(first) - 1, rows < 0
+                count = np.bincount(kind) + np.bincount(kind[told], minlength=kind[-1] + 1)
+                known = np.flatnonzero((count[kind] > 1) & ~told)
+                if len(known):
+                    yield _lists(KNOWN, rows[known], places[known])
+                if words > 2:
+                    heads = np.flatnonzero(first)
+                    core = np.cumsum(np.concatenate([[True], names[heads[1:], 0] != names[heads[:-1], 0]])) - 1
+                    heads = heads[np.bincount(core)[core] > 1]
+                    if len(heads):
+                        yield _lists(RUNS, np.where(told, ~rows, rows)[heads], places[heads])
+
+    found = records.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "tag int, row long, places binary")
+    lists = lambda tag, c: F.collect_list(F.when(F.col("tag") == tag, F.col("places"))).alias(c)
+    return cut(found.groupBy("row").agg(lists(KNOWN, "places"), lists(RUNS, "runs")), name)
+
+
+def _numbers(lists) -> np.ndarray:
+    return np.frombuffer(b"".join(lists), np.uint64)
+
+
+def _sampled(texts: DataFrame, period: int, cover: list[int], parts: int) -> DataFrame:
+    """Records of the names of two tuples at every sampled place."""
 
     def name(batches):
+        sorter = _Sorter(parts, False)
         for batch in batches:
-            out = []
-            for row, text, runs in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
-                for r in runs:
-                    p1, p2, a = r["p1"], r["p2"], r["anchor"]
-                    for j in range((a - p2) // BLOCK, (a - p1) // BLOCK + 1):
-                        at = a - BLOCK * j
-                        b1, b2 = max(p1, at - BLOCK + 1), min(p2, at)
-                        out.append((row, b1, b2, xxhash.xxh3_128_digest(text[at : at - BLOCK + 1 + length]), xxhash.xxh3_128_digest(text[b1 : b2 + length])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            for k in range(0, len(out), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + (1 << 16)]), kinds)], ["row", "p1", "p2", "core", "whole"])
+            for row, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
+                for residue in cover:
+                    one = tuple_names(text, period, residue)
+                    sorter.add(row, _of_two(one[:-1], one[1:])[:, None])
+                    yield from sorter.full()
+        yield from sorter.full(1)
 
-    return docs.mapInArrow(name, "row long, p1 long, p2 long, core binary, whole binary")
+    return texts.mapInArrow(name, _RECORD)
 
 
-def _strings(docs: DataFrame, length: int) -> DataFrame:
-    """(name, row, p): a digest of the string at each start p of the runs listed for a row."""
+def _around(met: DataFrame, length: int, period: int, cover: list[int], parts: int) -> DataFrame:
+    """Records of the sampled places whose name occurs more than once: that name, and one of all bytes under the strings that lean on it."""
 
     def name(batches):
+        sorter, digest = _Sorter(parts, True), xxhash.xxh3_128_digest
         for batch in batches:
-            for row, text, runs in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
-                places = [p for r in runs for p in range(r["p1"], r["p2"] + 1)]
-                for a in range(0, len(places), 1 << 16):
-                    part = places[a : a + (1 << 16)]
-                    names = [xxhash.xxh3_128_digest(text[p : p + length]) for p in part]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([row] * len(part), pa.int64()), pa.array(part, pa.int64())], ["name", "row", "p"])
+            for row, text, lists in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
+                twice = np.unique(_numbers(lists))
+                for residue in cover:
+                    one = tuple_names(text, period, residue)
+                    two = _of_two(one[:-1], one[1:])
+                    good = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, two), len(twice) - 1)] == two)
+                    place = residue + period * good
+                    begin, end = _leaning(place, len(text), length, period)
+                    # the place's own offset tells strings cut short by the text's ends from others of the same bytes
+                    bytes_of = [digest(text[a : b + length], int(p - a)) for p, a, b in zip(place, begin.tolist(), end.tolist())]
+                    around = np.frombuffer(b"".join(bytes_of), np.uint64).reshape(-1, 2)
+                    sorter.add(row, np.concatenate([two[good][:, None], around], 1), place)
+                    yield from sorter.full()
+        yield from sorter.full(1)
+
+    return met.mapInArrow(name, _RECORD)
+
 
-    return docs.mapInArrow(name, "name binary, row long, p long")
+def _leaning(place: np.ndarray, n: int, length: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start, in a text of n bytes, of the strings that lean on a place."""
+    return np.maximum(place - period + 1, 0), np.minimum(place, n - length)
 
 
-def _settle(rows: DataFrame, part: str, all_of: str, place, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that another row is wholly like, and one row of each kind that shares its part with other kinds."""
-    kinds = rows.groupBy(part, all_of).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
-    shared = kinds.groupBy(part).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1").select(part, "kinds")
-    kinds = cut(kinds.join(shared, part), name)
-    return rows.join(kinds.filter("n > 1").select(part, all_of), [part, all_of], "left_semi"), kinds.filter("kinds > 1").select("one.*")
+def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in some range from begin up to, not with, end."""
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, begin, 1)
+    np.add.at(mark, end, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def _prefixes(met: DataFrame, length: int, period: int, parts: int) -> DataFrame:
+    """Records of the prefixes of `length` bytes at the starts that lean on the places listed."""
+
+    def name(batches):
+        sorter, digest = _Sorter(parts, True), xxhash.xxh3_128_digest
+        for batch in batches:
+            for row, text, lists in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
+                begin, end = _leaning(_numbers(lists).astype(np.int64), len(text), length, period)
+                starts = np.flatnonzero(_covered(len(text), begin, end + 1))
+                for a in range(0, len(starts), CHUNK):
+                    own = starts[a : a + CHUNK]
+                    names = b"".join([digest(text[p : p + length]) for p in own.tolist()])
+                    sorter.add(row, np.frombuffer(names, np.uint64).reshape(-1, 2), own)
+                    yield from sorter.full()
+        yield from sorter.full(1)
+
+    return met.mapInArrow(name, _RECORD)
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, bound: int) -> DataFrame:
@@ -136,53 +256,67 @@ def _with_text(docs: DataFrame, lists: DataFrame, bound: int) -> DataFrame:
     return docs.join(lists, "row")
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): row is the id where ids are whole numbers that tell the rows apart, else a number given to each."""
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    same = not whole or plain.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null or id < 0").limit(1).count()
+    return numbered(plain, "suffix-input").withColumnRenamed("__row", "row") if same else plain.select(F.col("id").cast("long").alias("row"), "*")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bound: int = 4_000_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     A byte is removed if a string of `length` bytes over it starts anywhere else in the texts too; strings do not
     cross rows and are judged on the input.  Null text is empty; a text under `length` bytes loses nothing.
-    Repeated rows are texts of their own, so each loses what it shares.
+    Repeated rows are texts of their own, so each loses what it shares.  Ids may be of any type, null or repeated.
 
-    Runs of starts that share an anchor are compared by a digest of all their bytes: where another run has the
-    same, every string of both repeats.  Where runs share an anchor's gram but not all bytes, one run of each
-    kind is compared again in blocks of offsets, and only where blocks share their core but not all bytes are
-    strings named one by one, and names counted.  Digests have 128 bits.
+    Equal texts are one text, all of whose bytes go.  Of the others, names at sampled places that occur once are
+    discarded.  A place whose name occurs again leads all strings that lean on it: if all bytes under them occur
+    again too, every string repeats; of places with one name and other bytes around, one of each kind has its strings
+    named one by one.  Names that discard have 64 bits, names that remove 128.  A name that is common in what
+    one task reads leaves it once, so that no task gathers a very common string.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    same = plain.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).count()
-    plain = numbered(plain, "suffix-input").withColumnRenamed("__row", "row") if same else plain.select(F.col("id").cast("long").alias("row"), "*")
-    texts = plain.select("row", "text")
-    place = F.struct("row", "p1", "p2", "anchor")
-    runs = cut(_runs(texts, length), "anchor-runs")
-    same_runs, one_each = _settle(runs, "gram", "context", place, "anchor-kinds")
-    lists = cut(one_each.groupBy("row").agg(F.collect_list(F.struct("p1", "p2", "anchor")).alias("runs")), "anchor-lists")
-    blocks = cut(_blocks(_with_text(texts, lists, bound), length), "anchor-blocks")
-    same_blocks, one_each = _settle(blocks, "core", "whole", F.struct("row", "p1", "p2"), "block-kinds")
-    lists = cut(one_each.groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("runs")), "block-lists")
-    strings = cut(_strings(_with_text(texts, lists, bound), length), "string-names")
-    twice = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    found = strings.join(twice, "name", "left_semi").select("row", F.col("p").alias("p1"), F.col("p").alias("p2"))
-    whole = same_runs.select("row", "p1", "p2").union(same_blocks.select("row", "p1", "p2"))
-    spans = cut(whole.union(found).groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("runs")), "repeat-spans")
+    small_batches(docs.sparkSession)
+    period, cover = difference_cover((length + 1) // 3)
+    plain = _plain(docs, id_col, text_col)
+    sizes = plain.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    sizes = cut(sizes, "suffix-sizes")
+    equal = sizes.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = cut(sizes.join(equal.select("sha", "first"), "sha").select("row", "first"), "equal-texts")
+    texts, later = plain.select("row", "text").filter(F.octet_length("text") >= length), copies.filter("row <> first").select("row")
+    texts = texts.join(F.broadcast(later) if later.count() <= bound else later, "row", "left_anti")
+    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
+    # names are dealt by their first bits, so each part gets about as many
+    parts = lambda n: int(min(1 << 20, max(8, -(-n // MEET))))
+
+    halves = _repeated(_sampled(texts, period, cover, parts(total * len(cover) // period)), 1, "repeated-names").select("row", "places")
+    around = _repeated(_around(_with_text(texts, halves, bound), length, period, cover, parts(total * len(cover) // (4 * period))), 3, "repeated-surroundings")
+    unlike = around.filter(F.size("runs") > 0).select("row", "runs")
+    strings = _repeated(_prefixes(_with_text(texts, unlike, bound), length, period, parts(total // 16)), 2, "repeated-strings")
+    spans = around.select("row", "places", F.lit(False).alias("single")).union(strings.select("row", "places", F.lit(True)))
+    spans = spans.filter(F.size("places") > 0).groupBy("row").agg(F.collect_list(F.struct("single", "places")).alias("spans"))
+    spans = cut(spans.join(copies.select("row"), "row", "left_anti"), "repeat-spans")
 
     def strip(batches):
         for batch in batches:
             out = []
-            for text, runs in zip(byte_values(batch.column(1)), batch.column(2)):
-                flat = runs.values
-                p1, p2 = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                mark = np.zeros(len(text) + 1, np.int32)
-                np.add.at(mark, p1, 1)
-                np.add.at(mark, p2 + length, -1)
-                gone = np.cumsum(mark[:-1]) > 0
+            for text, found in zip(byte_values(batch.column(1)), batch.column(2).to_pylist()):
+                gone = np.zeros(len(text), bool)
+                for part in found:
+                    place = _numbers(part["places"]).astype(np.int64)
+                    begin, end = (place, place) if part["single"] else _leaning(place, len(text), length, period)
+                    gone |= _covered(len(text), begin, end + length)
                 data = np.frombuffer(text, np.uint8)
-                starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((int(gone.sum()), starts, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             removed, n, sha = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["row", "n_removed", "n_spans", "kept_sha256"])
 
-    stripped = _with_text(texts, spans, bound).select("row", "text", "runs").mapInArrow(strip, "row long, n_removed long, n_spans long, kept_sha256 string")
-    sizes = plain.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    out = sizes.join(stripped, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select(F.col("id").alias(id_col), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    stripped = cut(_with_text(texts, spans, bound).select("row", "text", "spans").mapInArrow(strip, "row long, n_removed long, n_spans long, kept_sha256 string"), "stripped-texts")
+    wholly = copies.select("row", F.lit(True).alias("whole"))
+    out = sizes.join(wholly, "row", "left").join(stripped, "row", "left")
+    either = lambda whole, c: F.when(F.col("whole"), whole).otherwise(F.coalesce(c, F.lit(0).cast("long")))
+    return out.select(
+        F.col("id").alias(id_col), "n_bytes", either(F.col("n_bytes"), "n_removed").alias("n_removed"), either(F.lit(1).cast("long"), "n_spans").alias("n_spans"),
+        F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
