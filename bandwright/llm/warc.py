@@ -20,15 +20,21 @@ def _uuid(digest: F.Column) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 1 << 16, chunk_bytes: int = 8192) -> None:
+def _joined(parts: F.Column) -> F.Column:
+    """The parts, an array of binaries, one after the other, each copied once; bytes are not read as characters."""
+    return F.concat_ws("", F.transform(parts, lambda x: x.cast("string"))).cast("binary")
+
+
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 1 << 16, chunk_bytes: int = 8192, records_a_file: int = 1024) -> None:
     """Write a record for each row of pages as WARC files in path.
 
     A response's block is an HTTP response with the payload in chunked framing.  A block over segment_bytes is
     cut into segments: the first record, then continuation records that name it, their number and, in the
     last, the total length.  Of equal payloads of at least SMALLEST_REVISIT bytes the row with the smallest id is
     a response and the others revisit it; rows that repeat the smallest id are all responses, and a null id
-    is after every other.  Null payloads are empty.  Files are of the writer's partitions, gzipped; Spark's committer
-    makes a file appear whole or not at all.
+    is after every other.  Null payloads are empty.  A file has at most records_a_file records, none much over
+    segment_bytes, so a reader's task is of bounded size; files are gzipped whole, and Spark's committer makes one
+    appear whole or not at all.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"))
@@ -37,18 +43,20 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     narrow = rows.filter(F.col("size") >= SMALLEST_REVISIT).select("id", "digest")
     heads = narrow.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "head")
     later = narrow.join(heads, "digest").filter("id > head or (id is null and head is not null)").select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("k0"), F.col("digest").alias("kd"), "head").distinct()
-    keyed = rows.select("*", F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("key0"))
+    # rows without an id are told apart by a number, not ranked: they may be many and alike
+    salt = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    keyed = rows.select("*", F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("key0"), salt.alias("salt"))
     keyed = keyed.join(later, (F.col("key") == F.col("k")) & (F.col("key0") == F.col("k0")) & (F.col("digest") == F.col("kd")), "left").drop("k", "k0", "kd")
-    turn = F.row_number().over(Window.partitionBy("key", "key0", "digest").orderBy("url"))
+    turn = F.row_number().over(Window.partitionBy("key", "key0", "digest", "salt").orderBy("url"))
     text_id = F.coalesce(F.col("id").cast("string"), F.lit("-"))
     keyed = keyed.select("*", turn.alias("turn"), text_id.alias("name"))
-    record = _uuid(F.md5(F.concat_ws("|", "name", "digest", F.col("turn").cast("string")).cast("binary")))
+    record = _uuid(F.md5(F.concat_ws("|", "name", "digest", F.col("turn").cast("string"), F.when(F.col("key0"), F.col("salt").cast("string"))).cast("binary")))
     origin = _uuid(F.md5(F.concat_ws("|", F.col("head").cast("string"), "digest", F.lit("1")).cast("binary")))
     keyed = keyed.select("*", record.alias("record"), F.when(F.col("head").isNotNull(), origin).alias("origin"))
 
     starts = F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(chunk_bytes))
     one = lambda at: F.concat(F.lower(F.hex(F.least(F.lit(chunk_bytes), F.col("size") - at).cast("long"))).cast("binary"), F.lit(CRLF).cast("binary"), F.col("body").substr(at + 1, F.lit(chunk_bytes)), F.lit(CRLF).cast("binary"))
-    chunks = F.when(F.col("size") > 0, F.aggregate(F.transform(starts, one), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))).otherwise(F.lit(b"").cast("binary"))
+    chunks = F.when(F.col("size") > 0, _joined(F.transform(starts, one))).otherwise(F.lit(b"").cast("binary"))
     http = lambda more: F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}{more}{CRLF}").cast("binary")
     block = F.when(F.col("origin").isNotNull(), http("")).otherwise(F.concat(http(f"Transfer-Encoding: chunked{CRLF}"), chunks, F.lit(f"0{CRLF}{CRLF}").cast("binary")))
     keyed = keyed.select("name", "url", "digest", "record", "origin", "head", block.alias("block"))
@@ -80,7 +88,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     # Two line ends close a record, so the text writer's line separator is the end of a record.
     value = F.concat(header.cast("binary"), piece).cast("string")
-    pieces.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    pieces.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -170,7 +178,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             F.max("digest").alias("digest"),
         )
     )
-    joined = F.aggregate(F.col("s"), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
+    joined = _joined(F.transform("s", lambda x: x["block"]))
     sound = (F.element_at("s", -1)["number"] == F.size("s")) & (F.size(F.array_distinct(F.transform("s", lambda x: x["number"]))) == F.size("s"))
     pieces = pieces.select("*", joined.alias("block"), sound.alias("sound"))
     fault = F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are not whole")))
