@@ -10,9 +10,6 @@ from pyspark.sql.window import Window
 
 from .shared import cut, numbered
 
-#: Words left over after the proportional part that the exact fit may work on.
-FIT_WORDS = 1 << 16
-
 
 def word_count(text: F.Column) -> F.Column:
     """Number of runs of other than space and the bytes 9 to 13; null: 0."""
@@ -40,43 +37,52 @@ def share_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...
     return target
 
 
+def proportional_part(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take before the exact fit: shares of the budget less twice the longest length.
+
+    Shares are rounded down; where that leaves more than twice the longest length, lengths whose share lost most by
+    rounding, longer ones first, give one document more each until it does not.
+    """
+    room, stock = 2 * int(length.max()), int((length * count).sum())
+    shared = max(0, budget - room)
+    whole = np.where(length > 0, count, 0).astype(object) * shared
+    take, lost = (whole // stock).astype(np.int64), (whole % stock).astype(float)
+    rest = budget - int((take * length).sum())
+    for k in np.lexsort((-length, -lost)):
+        if rest <= room:
+            break
+        if lost[k] > 0:
+            take[k] += 1
+            rest -= int(length[k])
+    return take
+
+
 def fit_counts(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     """How many of the documents of each length to take so that their words are the budget, or just under it.
 
-    Every length gives the same share of its documents, rounded down; single documents are added, longest
-    lengths first, while the rest is over FIT_WORDS or fits no other way; a bounded knapsack over the lengths
-    still in stock then meets the rest exactly where any choice does, and else comes as near as one can.
+    Every length gives about the same share of its documents, up to some twice the longest length below the budget;
+    a bounded knapsack over the documents still in stock then meets the rest exactly where any choice does, and
+    else comes as near from below as one can.
     """
-    take = np.zeros(len(length), np.int64)
     stock = int((length * count).sum())
     if budget <= 0 or not stock:
-        return take
+        return np.zeros(len(length), np.int64)
     if budget >= stock:
         return np.where(length > 0, count, 0).astype(np.int64)
-    take = np.where(length > 0, (count.astype(object) * budget) // stock, 0).astype(np.int64)
+    take = proportional_part(length, count, budget)
     rest = budget - int((take * length).sum())
-    order = np.argsort(-length, kind="stable")
-    for k in order:
-        if rest <= FIT_WORDS:
-            break
-        if length[k] > 0:
-            more = min(int(count[k] - take[k]), 1 + (rest - FIT_WORDS) // int(length[k]), rest // int(length[k]))
-            take[k] += more
-            rest -= more * int(length[k])
     # reach: bit w is set if some choice makes w words.  A choice of up to c of a length is c's binary parts.
     reach, steps, full = 1, [], (1 << (rest + 1)) - 1
-    for k in order:
+    for k in np.argsort(-length, kind="stable"):
         spare, unit = int(count[k] - take[k]), int(length[k])
         if unit <= 0 or unit > rest or not spare:
             continue
         spare, part = min(spare, rest // unit), 1
-        while spare:
+        while spare and not reach >> rest & 1:
             part_now = min(part, spare)
             steps.append((k, part_now, reach))
             reach = (reach | (reach << (part_now * unit))) & full
             spare, part = spare - part_now, part * 2
-            if reach >> rest & 1:
-                break
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
@@ -97,6 +103,7 @@ def mix(
     seed: int = 42,
     per_bucket: int = 100_000,
     row_col: str | None = None,
+    most_sources: int = 100_000,
 ) -> DataFrame:
     """(id, source, size, source_size, target, times, tie) for every row of docs: how often the mix takes it.
 
@@ -106,14 +113,17 @@ def mix(
     how many of each length, and the rows of a length with the least seeded hash of their id are taken.  Rows of
     one source and length are ranked in buckets of about per_bucket rows, so a large group of copies is not
     ranked in one task.  Rows without words are taken 0 times and a null text has none; a null source is a
-    source of its own, the last.  Rows of one id and text rank in any order.  The sources are a mixture's short list and are read to the driver; rows are not.
+    source of its own, the last.  Rows of one id and text rank in any order.  The sources are a mixture's short list and are read to
+    the driver, most_sources of them at most; rows are not.
     """
     tie, kept = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), [row_col] if row_col else []
     source = F.col(source_col).cast("string")
     rows = docs.select(*kept, F.col(id_col).alias("id"), F.coalesce(source, F.lit("")).alias("src"), source.isNull().alias("nul"), word_count(F.col(text_col)).alias("size"), tie.alias("tie"))
     rows = cut(rows, "mix-rows")
     stock = cut(rows.groupBy("src", "nul", "size").agg(F.count(F.lit(1)).alias("n")), "mix-stock")
-    sums = stock.groupBy("src", "nul").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()
+    sums = stock.groupBy("src", "nul").agg(F.sum(F.col("n") * F.col("size")).alias("words")).limit(most_sources + 1).collect()
+    if len(sums) > most_sources:
+        raise ValueError(f"a mixture has at most {most_sources} sources")
     sizes = {None if r["nul"] else r["src"]: int(r["words"]) for r in sums}
     target = share_targets(list(sizes.items()), weights, most)
     passes = {s: (int(target[s] // n) if n else 0) for s, n in sizes.items()}
@@ -131,7 +141,7 @@ def mix(
     kinds = "src string, nul boolean, size long, source_size long, target double, passes long, take long, buckets long"
     group = ["src", "nul", "size"]
     # What fit gets of a source is its lengths and how many documents have each, not its documents.
-    plan = cut(stock.join(F.broadcast(spec), ["src", "nul"]).groupBy("src", "nul").applyInPandas(fit, kinds), "mix-plan")
+    plan = cut(stock.join(spec, ["src", "nul"]).groupBy("src", "nul").applyInPandas(fit, kinds), "mix-plan")
     # Groups that are ranked in several buckets hold over per_bucket rows each, so they are few beside the rows.
     split = F.broadcast(plan.filter("buckets > 1").select(*group, F.col("buckets").cast("int").alias("b")))
     dealt = rows.join(split, group, "left").select(*kept, "id", *group, "tie", F.when(F.col("b").isNull(), 0).otherwise(F.pmod(F.shiftright("tie", 8), F.col("b")).cast("int")).alias("bucket"))
@@ -146,7 +156,10 @@ def mix(
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs' rows as often as the mix takes them, with docs' columns; whole rows are shuffled once."""
-    rows = numbered(docs, "mix-input")
-    plan = mix(rows, id_col, text_col, source_col, row_col="__row", **options)
+    # columns go by numbers meanwhile, so none can clash with those added here
+    at = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    rows = numbered(docs.toDF(*at.values()), "mix-input")
+    plan = mix(rows, at[id_col], at[text_col], at[source_col], row_col="__row", **options)
     times = plan.filter("times > 0").select("__row", F.col("times").cast("int").alias("__times"))
-    return rows.join(times, "__row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__copy")).drop("__copy")
+    copies = rows.join(times, "__row").select(*at.values(), F.explode(F.sequence(F.lit(1), "__times")).alias("__copy"))
+    return copies.drop("__copy").toDF(*docs.columns)
