@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import byte_values, small_batches
 
@@ -94,7 +95,7 @@ class Index:
                 held += len(part)
                 end += 1
             ids, firsts_of = np.concatenate(parts), np.array(firsts)
-            lines = set()
+            best: dict[tuple[int, int], int] = {}
             for mask, flat, item, at, seen in self.tables:
                 if not len(flat):
                     continue
@@ -102,16 +103,19 @@ class Index:
                 maybe = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
                 lo, hi = np.searchsorted(flat, h[maybe], "left"), np.searchsorted(flat, h[maybe], "right")
                 hit = hi > lo
-                where = np.repeat(maybe[hit], (hi - lo)[hit])
-                span = (hi - lo)[hit]
-                entry = np.arange(len(where)) - np.repeat(np.cumsum(span) - span, span) + np.repeat(lo[hit], span)
-                row = np.searchsorted(firsts_of, where, "right") - 1
-                lines.update(zip(row.tolist(), item[entry].tolist(), (where - firsts_of[row] - at[entry]).tolist()))
-            best: dict[tuple[int, int], int] = {}
-            for row, item, shift in lines:
-                equal = self.overlap(parts[row][:-1], self.items[item], shift)
-                if equal:
-                    best[row, item] = max(equal, best.get((row, item), 0))
+                maybe, lo, span = maybe[hit], lo[hit], (hi - lo)[hit]
+                ends = np.cumsum(span)
+                for a in range(0, int(ends[-1]) if len(ends) else 0, step):  # a very common seed stands for many places
+                    flat_at = np.arange(a, min(a + step, int(ends[-1])))
+                    which = np.searchsorted(ends, flat_at, "right")
+                    where, entry = maybe[which], lo[which] + flat_at - (ends[which] - span[which])
+                    row = np.searchsorted(firsts_of, where, "right") - 1
+                    lines = np.unique(np.stack([row, item[entry], where - firsts_of[row] - at[entry]]), axis=1)
+                    for r, i, shift in lines.T.tolist():
+                        if best.get((r, i), 0) < min(WINDOW, len(self.items[i])):
+                            equal = self.overlap(parts[r][:-1], self.items[i], shift)
+                            if equal:
+                                best[r, i] = max(equal, best.get((r, i), 0))
             found += [(start + row, item, equal) for (row, item), equal in sorted(best.items())]
             start = end
         return found
@@ -126,7 +130,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     small_batches(spark)
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = sorted(((r["item"], r["text"].encode("utf-8")) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = sorted(((r["item"], r["text"].encode("utf-8")) for r in own.collect()), key=lambda r: (r[0] is None, *([] if r[0] is None else [r[0]]), r[1]))
         yield uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
 
 
@@ -147,6 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType
+    item_arrow = to_arrow_type(item_kind)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for key, sent in _blocks(benchmark, item_col, item_text_col, block_bytes):
@@ -157,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 found = index.hits(byte_values(batch.column(1)))
                 if found:
                     ids = batch.column(0).take(pa.array([r for r, _, _ in found]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int32())], [id_col, "item_id", "equal_tokens"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i, _ in found], item_arrow), pa.array([n for _, _, n in found], pa.int32())], [id_col, "item_id", "equal_tokens"])
 
         part = rows.mapInArrow(search, f"`{id_col}` {kind}, item_id {item_kind.simpleString()}, equal_tokens int")
         out = part if out is None else out.union(part)
