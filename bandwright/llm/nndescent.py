@@ -44,7 +44,8 @@ def _packed(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spaces, pa.string()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["id", "space", "dim", "vec"])
 
     label = F.col(label_col).cast("string")
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col), label.alias("label")).mapInArrow(pack, "id long, space string, dim int, vec binary"), kind
+    id_kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("id"), F.col(vec_col), label.alias("label")).mapInArrow(pack, f"id {id_kind}, space string, dim int, vec binary"), kind
 
 
 def _first_lists(nodes: DataFrame, kind: str, tables: int, planes: int, width: int, k: int, seed: int) -> DataFrame:
@@ -153,41 +154,56 @@ def _refine(lists: DataFrame, nodes: DataFrame, kind: str, k: int, chunk: int) -
 def _degrees(lists: DataFrame, component: DataFrame, nodes: DataFrame, kind: str, threshold: float, block: int) -> DataFrame:
     """(node, n): copies of other vectors linked to a node.
 
-    Lists that are not full of links hold them all.  A component with a full list is compared whole, block by
-    block, and gives counts, not pairs.
+    Lists that are not full of links hold them all.  A node whose list is full has more links than it can list, and is
+    compared with its component, block by block, which gives counts, not pairs.
     """
     linked = lists.filter(F.col("sim") >= threshold)
     full = linked.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).filter("n >= k").select(F.col("u").alias("node"))
+    full = cut(full, "full-lists")
     dense = component.join(full, "node").select("component").distinct()
-    inside = component.join(dense, "component").select("node", "component")
+    inside = component.join(dense, "component").select("node", "component").join(full.withColumn("full", F.lit(True)), "node", "left")
     size = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     cards = inside.join(size, "component").join(nodes.select("node", "dim", "vec", "copies"), "node")
     cards = cards.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cards = cards.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "dim", "vec", "copies", "own")
+    cards = cards.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "dim", "vec", "copies", "own", F.coalesce("full", F.lit(False)).alias("full"))
 
     def count(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         x = _matrix(table.column("vec"), table.column("dim")[0].as_py(), kind)
         node, copies, own = table.column("node").to_numpy(), table.column("copies").to_numpy(), table.column("own").to_numpy()
-        n = np.zeros(len(node), np.int64)
-        for a in range(0, len(node), 1024):
-            near = x[a : a + 1024] @ x.T >= threshold
-            near &= (node[a : a + 1024, None] != node[None]) & ((own[a : a + 1024, None] != own[None]) if i != j else True)
+        asked = np.flatnonzero(table.column("full").to_numpy())
+        n = np.zeros(len(asked), np.int64)
+        for a in range(0, len(asked), 1024):
+            at = asked[a : a + 1024]
+            near = x[at] @ x.T >= threshold
+            near &= (node[at, None] != node[None]) & ((own[at, None] != own[None]) if i != j else True)
             n[a : a + 1024] = near @ copies
-        return pa.table({"node": node, "n": n})
+        return pa.table({"node": node[asked], "n": n})
 
     exact = cards.groupBy("component", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     sparse = linked.select("u", "v").union(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    sparse = sparse.join(inside.select(F.col("node").alias("u")), "u", "left_anti")
+    sparse = sparse.join(full.select(F.col("node").alias("u")), "u", "left_anti")
     sparse = sparse.join(nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("n"))
     return exact.union(sparse)
 
 
-def _audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float, sample: int, seed: int) -> float:
-    """Share of the links of `sample` hashed nodes, compared with all vectors, that degree counts."""
-    asked = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(sample).select("node", "space", "dim", "vec").toArrow()
-    if not len(asked):
-        return 1.0
+def _audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float, sample: int, enough: int, seed: int, most: int = 16) -> tuple[float, int]:
+    """(share, links): of the links of hashed nodes, compared with all vectors, the share that degree counts.
+
+    About `sample` nodes are asked at a time, until `enough` links are seen or `most` such blocks have been.
+    """
+    blocks, links, counted = max(1, -(-nodes.count() // sample)), 0, 0
+    for block in range(min(blocks, most)):
+        asked = nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(blocks)) == block).select("node", "space", "dim", "vec").toArrow()
+        true, found = _asked_links(asked, nodes, degree, kind, threshold) if len(asked) else (0, 0)
+        links, counted = links + true, counted + found
+        if links >= enough:
+            break
+    return (counted / links if links else 1.0), links
+
+
+def _asked_links(asked: pa.Table, nodes: DataFrame, degree: DataFrame, kind: str, threshold: float) -> tuple[int, int]:
+    """Links that the asked nodes have, and how many of them degree counts."""
     spaces = asked.column("space").to_pylist()
     sent = {s: [i for i, x in enumerate(spaces) if x == s] for s in set(spaces)}
     query, vecs, dims = asked.column("node").to_numpy(), asked.column("vec").to_pylist(), asked.column("dim").to_pylist()
@@ -206,7 +222,7 @@ def _audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float, sam
 
     true = nodes.select("node", "space", "dim", "vec", "copies").mapInArrow(truth, "node long, t long").groupBy("node").agg(F.sum("t").alias("t"))
     both = true.join(degree, "node", "left").agg(F.sum("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    return both[0] or 0, both[1] or 0
 
 
 def near_duplicates(
@@ -221,13 +237,15 @@ def near_duplicates(
     recall: float = 0.95,
     seed: int = 42,
     audit: int = 256,
+    enough: int = 2000,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: links of cosine >= threshold inside a label.
 
     Equal vectors of a label are one node, with a count of copies.  Nodes start from neighbours in random
     signature sorts; each round compares the neighbours of every node with one another and keeps the nearest.
-    A list that is full of links is doubled, up to `longest`; a component that still has a full list is compared
-    whole in blocks.  An audit compares hashed nodes with all vectors; below `recall`, two more rounds follow.
+    A list that is full of links is doubled, up to `longest`; a node whose list still is full is counted against its
+    component.  An audit compares hashed nodes with all vectors until `enough` links are seen; below `recall`, more
+    random sorts and two more rounds follow, and an answer that stays below it is an error, not a result.
 
     Rows whose vector is null, empty, zero or has null or non-finite components, or whose label is null, link
     with nothing: 0 links, their own id as component, kept.  Vectors of different lengths do not link.  Repeated
@@ -256,10 +274,15 @@ def near_duplicates(
                 break
         component = cut(connected_components(lists.filter(F.col("sim") >= threshold), "u", "v"), "vector-components")
         degree = cut(_degrees(lists, component, nodes, kind, threshold, 256), "degrees")
-        got = _audit(nodes, degree, kind, threshold, audit, seed)
-        log.info("nn-descent: %d rounds, recall %.4f on %d nodes", done, got, audit)
-        if got >= recall or done >= rounds + 6:
+        got, links = _audit(nodes, degree, kind, threshold, audit, enough, seed)
+        log.info("nn-descent: %d rounds, recall %.4f on %d links", done, got, links)
+        if got >= recall:
             break
+        if done >= rounds + 8:
+            raise RuntimeError(f"recall {got:.4f} on {links} links is below {recall} after {done} rounds")
+        fresh = _first_lists(nodes, kind, 8, planes, 128, longest, seed + done)
+        sizes = lists.groupBy("u").agg(F.max("k").alias("g"))
+        lists = cut(_best_lists(lists.select("u", "v", "sim").union(fresh), size.join(sizes, "u", "left").select("u", F.coalesce("g", "k").alias("k"))), "neighbours")
         extra = 2
     least = component.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     least = component.join(least, "component").select("node", "least")
