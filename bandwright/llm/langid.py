@@ -16,7 +16,6 @@ from .shared import byte_chunks, byte_values, cut, fold, small_batches
 ORDER = 3
 PAD = b"\n" * ORDER
 CHUNK = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _MODELS: dict[str, list[Model]] = {}
 
@@ -29,6 +28,13 @@ def _grams(buffer: np.ndarray) -> np.ndarray:
     return code
 
 
+def text_grams(texts: list[bytes]) -> np.ndarray:
+    """Each byte of the texts with the ORDER bytes before it; a text starts in the context of the pad, which itself counts nowhere."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    own = np.repeat(np.tile([True, False], len(texts)), np.stack([sizes, np.full(len(texts), ORDER)], 1).reshape(-1))
+    return _grams(np.frombuffer(PAD + PAD.join(texts), np.uint8))[own[:-ORDER]]
+
+
 def _tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if weights is None:
         codes = np.sort(codes)
@@ -64,9 +70,7 @@ def gather_counts(docs: DataFrame, text_col: str, lang_col: str, hold: int = 1 <
             for lang in dict.fromkeys(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang and t]
                 for a, b in byte_chunks(own, 2 * CHUNK):
-                    # texts are parted by the pad, so a text starts in the context of line ends
-                    buffer = np.frombuffer(PAD + PAD.join(own[a:b]), np.uint8)
-                    held.setdefault(lang, []).append(_tally(_grams(buffer)))
+                    held.setdefault(lang, []).append(_tally(text_grams(own[a:b])))
                 if lang in held and len(held[lang]) > 4 and len(merged(lang)[0]) > hold:
                     yield rows(lang)
         for lang in held:
@@ -177,9 +181,10 @@ class Model:
 
 
 def has_letter(text: bytes | None) -> bool:
+    """Whether a character is of one of Unicode's letter categories; numerals such as a half are not."""
     if not text:
         return False
-    return bool(_ASCII_LETTER.search(text)) or bool(_LETTER.search(text.decode("utf-8", "replace")))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def identify(
