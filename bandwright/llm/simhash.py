@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_values, connected_components, cut, small_batches, whole_groups
+from .shared import byte_values, connected_components, cut, numbered, small_batches, whole_groups
 
 BITS = 64
 #: Words of a wide fingerprint.
@@ -152,34 +152,53 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048, levels: int = 8) -> DataFrame:
     """Edges (u, v) between the ids of distinct fingerprints (fp, id) that differ in at most budget bits.
 
     The top levels of the trie are taken down as a key: a fingerprint goes to each pair of subtrees it can
-    have links in, those whose prefixes differ in at most budget bits.  Below, a task walks its pair of
-    subtrees and returns a spanning forest of what it linked, not every pair of a dense group.
+    have links in, those whose prefixes differ in at most budget bits.  A pair of subtrees that holds much more than
+    per_bucket fingerprints is taken down `levels` more, as often as need be, so fingerprints that share a long prefix
+    do not meet in one task.  Below, a task walks its pair of subtrees and returns a spanning forest of what it linked,
+    not every pair of a dense group; a fingerprint has at most 64 + 64 * 63 / 2 others within two bits.
     """
     n = fps.count()
-    depth = min(24, max(0, math.ceil(math.log2(max(1, n / per_bucket)))))
-    masks = [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(depth), k)]
+    depth = min(16, max(0, math.ceil(math.log2(max(1, n / per_bucket)))))
+    low = lambda k: F.lit((1 << k) - 1).cast("long")
+    flips = lambda k, most: F.array(*[F.struct(F.lit(sum(1 << b for b in c)).cast("long").alias("m"), F.lit(len(c)).alias("e")) for e in range(most + 1) for c in combinations(range(k), e)])
     prefix = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
-    routed = (
-        fps.select("fp", "id", prefix.alias("p"))
-        .select("fp", "id", "p", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-        .select("fp", "id", F.least("p", F.col("p").bitwiseXOR(F.col("mask"))).alias("a"), F.greatest("p", F.col("p").bitwiseXOR(F.col("mask"))).alias("b"))
-    )
+    routed = fps.select("fp", "id", prefix.alias("p"), F.explode(flips(depth, budget)).alias("x"))
+    other = F.col("p").bitwiseXOR(F.col("x.m"))
+    routed = routed.select("fp", "id", F.lit(depth).alias("depth"), F.least("p", other).alias("a"), F.greatest("p", other).alias("b"), F.col("x.e").alias("err"))
+    group, done = ["depth", "a", "b", "err"], None
+    while depth + levels < BITS:
+        heavy = routed.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * per_bucket).select(*group)
+        if not heavy.limit(1).count():
+            break
+        heavy = cut(heavy, "full-subtrees")
+        light = routed.join(heavy, group, "left_anti")
+        done = light if done is None else done.union(light)
+        deeper = routed.join(heavy, group, "left_semi")
+        own = F.shiftrightunsigned("fp", BITS - depth - levels).bitwiseAND(low(levels))
+        mine = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
+        deeper = deeper.select("*", own.alias("q"), (mine == F.col("a")).alias("left"), F.explode(flips(levels, budget)).alias("x")).filter(F.col("err") + F.col("x.e") <= budget)
+        down = lambda side, bits: F.shiftleft(side, levels).bitwiseOR(bits)
+        turned = F.col("q").bitwiseXOR(F.col("x.m"))
+        a, b = down("a", F.when(F.col("left"), F.col("q")).otherwise(turned)), down("b", F.when(F.col("left"), turned).otherwise(F.col("q")))
+        depth += levels
+        routed = cut(deeper.select("fp", "id", F.lit(depth).alias("depth"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col("err") + F.col("x.e")).alias("err")), "deeper-subtrees")
+    routed = routed if done is None else done.union(routed)
 
     def walk(key, table):
-        a, b = (k.as_py() for k in key)
+        depth, a, b, err = (k.as_py() for k in key)
         value = table.column("fp").to_numpy().view(np.uint64)
         ids = table.column("id").to_numpy()
         order = np.argsort(value)
         value, ids = value[order], ids[order]
         if a == b:
-            i, j = trie_pairs(value[:, None], None, depth, budget)
+            i, j = trie_pairs(value[:, None], None, depth, budget - err)
         else:
             at = np.searchsorted(value, np.uint64(b << (BITS - depth)))
-            i, j = trie_pairs(value[:at, None], value[at:, None], depth, budget - (a ^ b).bit_count())
+            i, j = trie_pairs(value[:at, None], value[at:, None], depth, budget - err)
             j = j + at
         rank = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
@@ -188,7 +207,7 @@ def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048) -> Da
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"u": pa.array(ids[rank][moved]), "v": pa.array(ids[rank][label[moved]])})
 
-    return routed.groupBy("a", "b").applyInArrow(walk, "u long, v long")
+    return routed.groupBy(*group).applyInArrow(walk, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
@@ -202,29 +221,46 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     narrow = cut(with_fingerprints(docs, id_col, text_col, words_each, seed), "fingerprints")
-    nodes = cut(narrow.groupBy("fp").agg(F.min("id").alias("id")).filter("id is not null"), "fingerprint-nodes")
-    component = connected_components(fingerprint_links(nodes, budget))
-    named = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    named = narrow.groupBy("fp").agg(F.min("id").alias("least")).filter("least is not null")
+    # a node is its fingerprint, so ids may be of any type
+    nodes = cut(named.select("fp", F.col("fp").alias("id"), "least"), "fingerprint-nodes")
+    component = connected_components(fingerprint_links(nodes.select("fp", "id"), budget)).withColumnRenamed("node", "fp")
+    named = nodes.join(component, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(least, "component").select("fp", "component_id"), "fingerprint-components")
     return narrow.join(named, "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id")
     )
 
 
-def bit_budget(similarity: float, spare: float = 2.0) -> int:
+def bit_budget(similarity: float, spare: float = 3.0) -> int:
     """Differing bits to allow a wide fingerprint for a Jaccard similarity: the mean, and `spare` deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = WIDE * BITS
     return round(n * share + spare * math.sqrt(n * share * (1 - share)))
 
 
-def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the sketches of pairs agree in `similarity` of the ranges in which either has a hash."""
-    out = np.zeros(len(i), bool)
+def _agreement(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, deviations: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """(sure, open): pairs whose sketches agree by so much that the sets surely are similar, and those that only the sets can tell.
+
+    Of the ranges in which either has a hash the share that agrees estimates the similarity; `deviations` of that
+    estimate on either side are open.
+    """
+    sure, open_ = np.zeros(len(i), bool), np.zeros(len(i), bool)
     for a in range(0, len(i), 4096):
         x, y = sketch[i[a : a + 4096]], sketch[j[a : a + 4096]]
         either = np.maximum(1, ((x != 0) | (y != 0)).sum(1))
-        out[a : a + 4096] = ((x == y) & (x != 0)).sum(1) >= similarity * either
-    return out
+        share = ((x == y) & (x != 0)).sum(1) / either
+        spread = deviations * np.sqrt(similarity * (1 - similarity) / either)
+        sure[a : a + 4096] = share >= similarity + spread
+        open_[a : a + 4096] = (share >= similarity - spread) & (share < similarity + spread)
+    return sure, open_
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets, as sorted arrays; two empty ones are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def _variant_pairs(i: np.ndarray, j: np.ndarray, count: np.ndarray, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -244,29 +280,81 @@ def _variant_pairs(i: np.ndarray, j: np.ndarray, count: np.ndarray, step: int =
         yield u[once], v[once]
 
 
-def _group_forest(value: np.ndarray, sketch: np.ndarray, ids: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v): a spanning forest of the links between some wide fingerprints, equal ones with other sketches among them."""
+def _candidates(value: np.ndarray, budget: int):
+    """(order, pairs): rows sorted by fingerprint, and an iterator over index pairs, in that order, within the budget."""
     order = np.lexsort(value.T[::-1])
-    value, sketch, ids = value[order], sketch[order], ids[order]
-    if len(ids) <= LEAF:
-        i, j = np.triu_indices(len(ids), 1)
+    value = value[order]
+    if len(value) <= LEAF:
+        i, j = np.triu_indices(len(value), 1)
         close = np.bitwise_count(value[i] ^ value[j]).sum(1) <= budget
-        parts = [(i[close], j[close])]
-    else:
-        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]).any(1)]))
-        parts = _variant_pairs(*trie_pairs(value[first], None, 0, budget), np.diff(np.append(first, len(ids))))
-    rank = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[rank] = np.arange(len(ids))
-    label = np.arange(len(ids))
-    for i, j in parts:
-        apart = label[place[i]] != label[place[j]]
+        return order, lambda: iter([(i[close], j[close])])
+    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]).any(1)]))
+    i, j = trie_pairs(value[first], None, 0, budget)
+    return order, lambda: _variant_pairs(i, j, np.diff(np.append(first, len(value))))
+
+
+class _Forest:
+    """Labels of the rows of a group, the least rank of an id reached, and its edges."""
+
+    def __init__(self, ids: np.ndarray):
+        self.rank = np.argsort(ids, kind="stable")
+        self.ids, self.place = ids, np.empty(len(ids), np.int64)
+        self.place[self.rank] = np.arange(len(ids))
+        self.label = np.arange(len(ids))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.label[self.place[i]] != self.label[self.place[j]]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.label = least_labels(len(self.ids), self.label[self.place[i]], self.label[self.place[j]])[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.ids)))
+        return self.ids[self.rank][moved], self.ids[self.rank][self.label[moved]]
+
+
+def _group_forest(value: np.ndarray, sketch: np.ndarray, ids: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, open): a forest of the sure links between some wide fingerprints, equal ones with other sketches among
+    them, and the ids that have an open pair across its trees."""
+    order, pairs = _candidates(value, budget)
+    sketch, ids = sketch[order], ids[order]
+    forest, asked = _Forest(ids), np.zeros(len(ids), bool)
+    for i, j in pairs():
+        apart = forest.apart(i, j)
+        i, j = i[apart], j[apart]
+        sure, _ = _agreement(sketch, i, j, similarity)
+        forest.join(i[sure], j[sure])
+    for i, j in pairs():
+        apart = forest.apart(i, j)
         i, j = i[apart], j[apart]
-        alike = _alike(sketch, i, j, similarity)
-        if alike.any():
-            label = least_labels(len(ids), label[place[i[alike]]], label[place[j[alike]]])[label]
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[rank][moved], ids[rank][label[moved]]
+        _, open_ = _agreement(sketch, i, j, similarity)
+        asked[i[open_]] = asked[j[open_]] = True
+    return *forest.edges(), ids[asked]
+
+
+def _settled_forest(value: np.ndarray, sketch: np.ndarray, ids: np.ndarray, tree: np.ndarray, sets: list[bytes], budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links that the sets themselves show between rows of different trees."""
+    order, pairs = _candidates(value, budget)
+    sketch, ids, tree = sketch[order], ids[order], tree[order]
+    own = [np.frombuffer(sets[k], np.uint64) for k in order]
+    forest = _Forest(ids)
+    for i, j in pairs():
+        far = tree[i] != tree[j]
+        i, j = i[far], j[far]
+        sure, open_ = _agreement(sketch, i, j, similarity)
+        for a, b in zip(i[sure | open_].tolist(), j[sure | open_].tolist()):
+            if forest.label[forest.place[a]] != forest.label[forest.place[b]] and jaccard(own[a], own[b]) >= similarity:
+                forest.join(np.array([a]), np.array([b]))
+    return forest.edges()
+
+
+def _rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with `__row`: the id where ids are whole numbers that tell the rows apart, else a number given to each."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(id_col).isNull() | (F.col("__n") > 1)).limit(1).count():
+        return docs.withColumn("__row", F.col(id_col).cast("long"))
+    return numbered(docs, "near-copy-input")
 
 
 def keep_one_of_each(
@@ -279,48 +367,86 @@ def keep_one_of_each(
     rows: int = 2,
     per_group: int = 4096,
     seed: int = 42,
+    bound: int = 4_000_000,
 ) -> DataFrame:
-    """docs with one row, that of the smallest id, of each group of texts linked by similarity, in docs' columns.
+    """docs with one row of each group of texts linked by similarity, in docs' columns.
 
     Similarity is that of the sets of words_each-word shingles.  Wide SimHash fingerprints that differ in at most
-    bit_budget(similarity) of WIDE * 64 bits are candidates, and link if sketches of their sets agree.  So large a budget prunes little at the top of
-    one trie of all fingerprints, so fingerprints are first dealt by keys that similar texts share (one of `bands`
-    keys is shared at similarity s with chance 1 - (1 - s ** rows) ** bands), and each key's trie is joined with
-    itself.  A key with over per_group fingerprints is dealt to tasks as pairs of parts, none left out.
-    Texts without words, null ones too, are one group.  Rows with a null id are all kept: nothing tells them apart.
-    Of rows with one id, one is kept.
+    bit_budget(similarity) of WIDE * 64 bits are candidates.  So large a budget prunes little at the top of one trie
+    of all fingerprints, so fingerprints are first dealt by keys that similar texts share (one of `bands` keys is
+    shared at similarity s with chance 1 - (1 - s ** rows) ** bands), and each key's trie is joined with itself.
+    Candidates whose sketches leave no doubt link; texts with a candidate in doubt meet again with their whole sets,
+    which decide.  A key with over per_group fingerprints is dealt to tasks as pairs of parts, none left out.
+
+    Texts without words, null ones too, are one group.  The row of the smallest id stays, null ids last; of rows alike
+    in text and id any one.  Ids may be of any type, and rows of one id are texts of their own.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.withColumnsRenamed({"__row": "__own_row"}) if "__row" in docs.columns else docs
+    back = {"__own_row": "__row"} if "__own_row" in docs.columns else {}
     budget = bit_budget(similarity)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def describe(batches):
         for batch in batches:
-            done = [wide_fingerprint(x, words_each, bands, rows, seed) for x in byte_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["id", "fp", "keys"])
+            done = [wide_fingerprint(x, words_each, bands, rows, seed) for x in byte_values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["row", "id", "fp", "keys"])
 
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    narrow = cut(known.mapInArrow(describe, f"id {kind}, fp binary, keys array<long>"), "wide-fingerprints")
-    nodes = cut(narrow.groupBy("fp").agg(F.min("id").cast("long").alias("id"), F.min("keys").alias("keys")), "wide-nodes")
-    dealt = nodes.select("id", "fp", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / per_group).alias("parts"))
-    dealt = dealt.join(shared, "key").select("*", F.pmod(F.xxhash64("id"), F.col("parts")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp")
+    given = _rows(docs, id_col)
+    plain = given.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = cut(plain.mapInArrow(describe, f"row long, id {kind}, fp binary, keys array<long>"), "wide-fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = cut(narrow.groupBy("fp").agg(F.min("row").alias("id"), first, F.min("keys").alias("keys")), "wide-nodes")
+
+    def met(own: DataFrame, more: list[str]) -> DataFrame:
+        dealt = own.select("id", "fp", *more, F.explode("keys").alias("key"))
+        shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / per_group).alias("parts"))
+        dealt = dealt.join(shared, "key").select("*", F.pmod(F.xxhash64("id"), F.col("parts")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp", *more)
+        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def unpacked(table):
+        both = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE * 8 + 2 * BINS)
+        return np.ascontiguousarray(both[:, : WIDE * 8]).view(">u8").astype(np.uint64), np.ascontiguousarray(both[:, WIDE * 8 :]).view("<u2"), table.column("id").to_numpy()
 
     def link(batches):
         for table, at in whole_groups(batches, ["key", "i", "j"]):
-            both = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE * 8 + 2 * BINS)
-            value = np.ascontiguousarray(both[:, : WIDE * 8]).view(">u8").astype(np.uint64)
-            sketch = np.ascontiguousarray(both[:, WIDE * 8 :]).view("<u2")
-            ids = table.column("id").to_numpy()
-            edges = [_group_forest(value[a:b], sketch[a:b], ids[a:b], budget, similarity) for a, b in zip(at[:-1], at[1:]) if b - a > 1]
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*edges)], ["u", "v"])
-
-    edges = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(link, "u long, v long")
-    component = connected_components(edges)
-    gone = component.filter("node <> component").select(F.col("node").alias("id"))
-    keep = nodes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("__keep"))
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+            value, sketch, ids = unpacked(table)
+            for a, b in zip(at[:-1], at[1:]):
+                if b - a > 1:
+                    u, v, asked = _group_forest(value[a:b], sketch[a:b], ids[a:b], budget, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, asked])), pa.array(np.concatenate([v, asked]))], ["u", "v"])
+
+    def settle(batches):
+        for table, at in whole_groups(batches, ["key", "i", "j"]):
+            value, sketch, ids = unpacked(table)
+            tree, sets = table.column("tree").to_numpy(), table.column("shingles").to_pylist()
+            for a, b in zip(at[:-1], at[1:]):
+                if b - a > 1:
+                    u, v = _settled_forest(value[a:b], sketch[a:b], ids[a:b], tree[a:b], sets[a:b], budget, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def gather(batches):
+        for batch in batches:
+            sets = []
+            for text in byte_values(batch.column(0)):
+                blocks = list(shingle_hashes(text, words_each, seed))
+                sets.append(np.unique(np.concatenate(blocks)).tobytes() if blocks else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "shingles"])
+
+    found = cut(met(nodes, []).mapInArrow(link, "u long, v long"), "near-copies")
+    edges = found.filter("u <> v")
+    trees = cut(connected_components(edges), "near-copy-trees")
+    # texts whose doubt lies inside one tree need no second look
+    asked = found.filter("u = v").select(F.col("u").alias("id")).distinct()
+    asked = cut(nodes.join(asked, "id").join(trees.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", "keys", F.coalesce("component", "id").alias("tree")), "near-copies-in-doubt")
+    texts = plain.select(F.col("row").alias("id"), "text")
+    if asked.count() <= bound:
+        texts = texts.join(F.broadcast(asked.select("id")), "id", "left_semi")
+    carry = texts.join(asked, "id").select("text", "id", "fp", "keys", "tree")
+    whole = carry.mapInArrow(gather, "id long, fp binary, keys array<long>, tree long, shingles binary")
+    more = cut(met(cut(whole, "near-copy-sets"), ["tree", "shingles"]).mapInArrow(settle, "u long, v long"), "settled-copies")
+    component = connected_components(edges.union(more))
+    named = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
+    keep = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return given.join(keep, "__row", "left_semi").drop("__row").withColumnsRenamed(back)
