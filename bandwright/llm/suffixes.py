@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import byte_values, cut, discard, numbered, small_batches, whole_groups
 
-#: Names that a task collects before it gives them away, and about how many meet in a task.
-CHUNK, MEET = 1 << 20, 1 << 21
+#: Words of names that a task collects before it gives them away, and about how many meet in a task.
+CHUNK, MEET = 1 << 19, 3 << 19
 ENTRIES, KNOWN, RUNS = 0, 1, 2
 _RECORD = "part int, tag int, row long, names binary, rows binary, places binary"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -105,7 +105,7 @@ class _Sorter:
     """Collects names and gives records of them, CHUNK names at a time."""
 
     def __init__(self, parts: int, with_places: bool):
-        self.parts, self.with_places, self.turn = parts, with_places, 0
+        self.parts, self.with_places, self.turn, self.words = parts, with_places, 0, 1
         self._clear()
 
     def _clear(self):
@@ -115,12 +115,12 @@ class _Sorter:
         if len(names):
             self.names.append(names)
             self.rows.append((row, len(names)))
-            self.n += len(names)
+            self.n, self.words = self.n + len(names), names.shape[1]
             if self.with_places:
                 self.places.append(places.astype(np.uint64))
 
     def full(self, least: int = CHUNK):
-        if self.n >= max(1, least):
+        if self.n * self.words >= max(1, least):
             self.turn += 1
             yield _records(self.names, self.rows, self.places, self.parts, self.turn * 7919)
             self._clear()
@@ -239,8 +239,8 @@ def _prefixes(met: DataFrame, length: int, period: int, parts: int) -> DataFrame
             for row, text, lists in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
                 begin, end = _leaning(_numbers(lists).astype(np.int64), len(text), length, period)
                 starts = np.flatnonzero(_covered(len(text), begin, end + 1))
-                for a in range(0, len(starts), CHUNK):
-                    own = starts[a : a + CHUNK]
+                for a in range(0, len(starts), CHUNK // 2):
+                    own = starts[a : a + CHUNK // 2]
                     names = b"".join([digest(text[p : p + length]) for p in own.tolist()])
                     sorter.add(row, np.frombuffer(names, np.uint64).reshape(-1, 2), own)
                     yield from sorter.full()
@@ -288,12 +288,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.join(F.broadcast(later) if later.count() <= bound else later, "row", "left_anti")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     # names are dealt by their first bits, so each part gets about as many
-    parts = lambda n: int(min(1 << 20, max(8, -(-n // MEET))))
+    parts = lambda n, words: int(min(1 << 20, max(8, -(-n * words // MEET))))
 
-    halves = _repeated(_sampled(texts, period, cover, parts(total * len(cover) // period)), 1, "repeated-names").select("row", "places")
-    around = _repeated(_around(_with_text(texts, halves, bound), length, period, cover, parts(total * len(cover) // (4 * period))), 3, "repeated-surroundings")
+    halves = _repeated(_sampled(texts, period, cover, parts(total * len(cover) // period, 1)), 1, "repeated-names").select("row", "places")
+    around = _repeated(_around(_with_text(texts, halves, bound), length, period, cover, parts(total * len(cover) // (4 * period), 3)), 3, "repeated-surroundings")
     unlike = around.filter(F.size("runs") > 0).select("row", "runs")
-    strings = _repeated(_prefixes(_with_text(texts, unlike, bound), length, period, parts(total // 16)), 2, "repeated-strings")
+    strings = _repeated(_prefixes(_with_text(texts, unlike, bound), length, period, parts(total // 16, 2)), 2, "repeated-strings")
     spans = around.select("row", "places", F.lit(False).alias("single")).union(strings.select("row", "places", F.lit(True)))
     spans = spans.filter(F.size("places") > 0).groupBy("row").agg(F.collect_list(F.struct("single", "places")).alias("spans"))
     spans = cut(spans.join(copies.select("row"), "row", "left_anti"), "repeat-spans")
