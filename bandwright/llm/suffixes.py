@@ -23,7 +23,7 @@ from .shared import byte_values, cut, discard, numbered, small_batches, whole_gr
 #: Words of names that a task collects before it gives them away, and about how many meet in a task.
 CHUNK, MEET = 1 << 19, 3 << 19
 ENTRIES, KNOWN, RUNS = 0, 1, 2
-_RECORD = "part int, tag int, row long, names binary, rows binary, places binary"
+_RECORD = "part int, tag int, names binary, rows binary, places binary"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,7 +62,16 @@ def tuple_names(text: bytes, period: int, residue: int, seed: int = 0) -> np.nda
     return np.array([name(text[a : a + period], seed) for a in range(residue, len(text) - period + 1, period)], np.uint64)
 
 
-def _records(names: list[np.ndarray], rows: list[tuple[int, int]], places: list[np.ndarray] | None, parts: int, turn: int) -> pa.RecordBatch:
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, by its first bits."""
+    return (((key >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+
+
+def _of_rows(rows: np.ndarray, parts: int) -> np.ndarray:
+    return _part(rows.astype(np.uint64) * _M1, parts)
+
+
+def _records(names: list[np.ndarray], rows: list[tuple[int, int]], places: list[np.ndarray] | None, parts: int) -> pa.RecordBatch:
     """Names (n, words) of rows (row, how many) for the parts they are sorted in.
 
     Names that occur twice here are known repeats: their places go on as such, and one of each name to its part, its
@@ -79,33 +88,32 @@ def _records(names: list[np.ndarray], rows: list[tuple[int, int]], places: list[
     twice[order] = again | before
     out: list[tuple] = []
     own = np.flatnonzero(twice)
-    for at in np.split(own, np.flatnonzero(np.diff(row[own])) + 1) if len(own) else []:
-        out.append((turn % parts, KNOWN, int(row[at[0]]), b"", b"", place[at].tobytes()))
+    if len(own):
+        out.append((int(_of_rows(row[own[:1]], parts)[0]), KNOWN, b"", row[own].tobytes(), place[own].tobytes()))
     heads = order[before & ~again]
     kept = np.concatenate([np.flatnonzero(~twice), heads])
     row[heads] = ~row[heads]
-    part = (((name[kept, 0] >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+    for part, at in _split(_part(name[kept, 0], parts), kept):
+        out.append((part, ENTRIES, name[at].tobytes(), row[at].tobytes(), b"" if places is None else place[at].tobytes()))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _RECORD.split(", ")])
+
+
+def _split(part: np.ndarray, at: np.ndarray):
+    """(part, those of at in it), in their order."""
     by = np.argsort(part, kind="stable")
-    kept, part = kept[by], part[by]
+    part, at = part[by], at[by]
     ends = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
     for a, b in zip(ends[:-1], ends[1:]):
         if b > a:
-            at = kept[a:b]
-            out.append((int(part[a]), ENTRIES, None, name[at].tobytes(), row[at].tobytes(), b"" if places is None else place[at].tobytes()))
-    return _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    names = [x.split()[0] for x in _RECORD.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            yield int(part[a]), at[a:b]
 
 
 class _Sorter:
     """Collects names and gives records of them, CHUNK names at a time."""
 
     def __init__(self, parts: int, with_places: bool):
-        self.parts, self.with_places, self.turn, self.words = parts, with_places, 0, 1
+        self.parts, self.with_places, self.words = parts, with_places, 1
         self._clear()
 
     def _clear(self):
@@ -121,60 +129,75 @@ class _Sorter:
 
     def full(self, least: int = CHUNK):
         if self.n * self.words >= max(1, least):
-            self.turn += 1
-            yield _records(self.names, self.rows, self.places, self.parts, self.turn * 7919)
+            yield _records(self.names, self.rows, self.places, self.parts)
             self._clear()
 
 
-def _lists(tag: int, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """(tag, row, places): the places of each row as one packed list."""
-    by = np.argsort(row, kind="stable")
-    row, place = row[by], place[by]
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
-    lists = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends) - 1, tag, np.int32)), pa.array(row[ends[:-1]]), lists], ["tag", "row", "places"])
-
-
-def _repeated(records: DataFrame, words: int, name: str) -> DataFrame:
-    """(row, places, runs), packed lists: places, or names, of a row whose name occurs more than once.
+def _repeated(records: DataFrame, words: int, parts: int, name: str) -> DataFrame:
+    """(row, places, runs), packed: the places, or names, of a row whose name occurs more than once.
 
     runs: where names that differ begin with the same word, one place of each name.
     """
 
+    def unpacked(table, columns):
+        kinds = {"names": np.uint64, "rows": np.int64, "places": np.uint64}
+        return [np.frombuffer(b"".join(table.column(c).to_pylist()), kinds[c]) for c in columns]
+
+    def told(tag, rows, places):
+        found = list(_split(_of_rows(rows, parts), np.arange(len(rows))))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = zip(*[(part, tag, rows[at].tobytes(), places[at].tobytes()) for part, at in found])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "tag", "rows", "places"])
+
     def meet(batches):
         for table, at in whole_groups(batches, ["part"]):
             for a, b in zip(at[:-1], at[1:]):
                 group = table.slice(a, b - a)
                 tags = group.column("tag").to_numpy()
-                entries, passed = group.filter(pa.array(tags == ENTRIES)), group.filter(pa.array(tags != ENTRIES))
+                entries, passed = group.filter(pa.array(tags == ENTRIES)), group.filter(pa.array(tags == KNOWN))
                 if len(passed):
-                    yield pa.RecordBatch.from_arrays([passed.column(c).combine_chunks() for c in ("tag", "row", "places")], ["tag", "row", "places"])
+                    yield told(KNOWN, *unpacked(passed, ["rows", "places"]))
                 if not len(entries):
                     continue
-                names, rows, places = (np.frombuffer(b"".join(entries.column(c).to_pylist()), kind) for c, kind in (("names", np.uint64), ("rows", np.int64), ("places", np.uint64)))
+                names, rows, places = unpacked(entries, ["names", "rows", "places"])
                 names = names.reshape(-1, words)
                 order = np.lexsort(names.T[::-1])
                 names, rows, places = names[order], rows[order], (places if len(places) else names[:, 0])[order]
                 first = np.concatenate([[True], (names[1:] != names[:-1]).any(1)])
-                kind, told = np.cumsum(first) - 1, rows < 0
-                count = np.bincount(kind) + np.bincount(kind[told], minlength=kind[-1] + 1)
-                known = np.flatnonzero((count[kind] > 1) & ~told)
-                if len(known):
-                    yield _lists(KNOWN, rows[known], places[known])
+                kind, known = np.cumsum(first) - 1, rows < 0
+                count = np.bincount(kind) + np.bincount(kind[known], minlength=kind[-1] + 1)
+                fresh = np.flatnonzero((count[kind] > 1) & ~known)
+                if len(fresh):
+                    yield told(KNOWN, rows[fresh], places[fresh])
                 if words > 2:
                     heads = np.flatnonzero(first)
                     core = np.cumsum(np.concatenate([[True], names[heads[1:], 0] != names[heads[:-1], 0]])) - 1
                     heads = heads[np.bincount(core)[core] > 1]
                     if len(heads):
-                        yield _lists(RUNS, np.where(told, ~rows, rows)[heads], places[heads])
+                        yield told(RUNS, np.where(known, ~rows, rows)[heads], places[heads])
+
+    def gather(batches):
+        for table, at in whole_groups(batches, ["part"]):
+            for a, b in zip(at[:-1], at[1:]):
+                group = table.slice(a, b - a)
+                tags, own = group.column("tag").to_numpy(), {}
+                for tag in (KNOWN, RUNS):
+                    rows, places = unpacked(group.filter(pa.array(tags == tag)), ["rows", "places"])
+                    by = np.argsort(rows, kind="stable")
+                    own[tag] = rows[by], places[by]
+                every = np.unique(np.concatenate([rows for rows, _ in own.values()]))
+                lists = []
+                for rows, places in own.values():
+                    ends = np.append(np.searchsorted(rows, every), len(rows)) * 8
+                    lists.append(pa.Array.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(places.tobytes())]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(every), *lists], ["row", "places", "runs"])
 
-    found = records.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "tag int, row long, places binary")
-    lists = lambda tag, c: F.collect_list(F.when(F.col("tag") == tag, F.col("places"))).alias(c)
-    return cut(found.groupBy("row").agg(lists(KNOWN, "places"), lists(RUNS, "runs")), name)
+    found = records.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "part int, tag int, rows binary, places binary")
+    return cut(found.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "row long, places binary, runs binary"), name)
 
 
-def _numbers(lists) -> np.ndarray:
-    return np.frombuffer(b"".join(lists), np.uint64)
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint64)
 
 
 def _sampled(texts: DataFrame, period: int, cover: list[int], parts: int) -> DataFrame:
@@ -290,12 +313,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # names are dealt by their first bits, so each part gets about as many
     parts = lambda n, words: int(min(1 << 20, max(8, -(-n * words // MEET))))
 
-    halves = _repeated(_sampled(texts, period, cover, parts(total * len(cover) // period, 1)), 1, "repeated-names").select("row", "places")
-    around = _repeated(_around(_with_text(texts, halves, bound), length, period, cover, parts(total * len(cover) // (4 * period), 3)), 3, "repeated-surroundings")
-    unlike = around.filter(F.size("runs") > 0).select("row", "runs")
-    strings = _repeated(_prefixes(_with_text(texts, unlike, bound), length, period, parts(total // 16, 2)), 2, "repeated-strings")
+    halves, several, single = parts(total * len(cover) // period, 1), parts(total * len(cover) // (4 * period), 3), parts(total // 16, 2)
+    found = _repeated(_sampled(texts, period, cover, halves), 1, halves, "repeated-names").select("row", "places")
+    around = _repeated(_around(_with_text(texts, found, bound), length, period, cover, several), 3, several, "repeated-surroundings")
+    unlike = around.filter(F.length("runs") > 0).select("row", "runs")
+    strings = _repeated(_prefixes(_with_text(texts, unlike, bound), length, period, single), 2, single, "repeated-strings")
     spans = around.select("row", "places", F.lit(False).alias("single")).union(strings.select("row", "places", F.lit(True)))
-    spans = spans.filter(F.size("places") > 0).groupBy("row").agg(F.collect_list(F.struct("single", "places")).alias("spans"))
+    spans = spans.filter(F.length("places") > 0).groupBy("row").agg(F.collect_list(F.struct("single", "places")).alias("spans"))
     spans = cut(spans.join(copies.select("row"), "row", "left_anti"), "repeat-spans")
 
     def strip(batches):
