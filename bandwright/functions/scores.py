@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,6 +29,15 @@ CQR = Score(
 )
 
 
+#: The same on plain numbers, name: (score of target and point, bounds of point and threshold); a native pair, in order, is the point of "cqr".
+PLAIN: dict[str, tuple[Callable, Callable]] = {
+    "absolute": (lambda y, p: abs(y - p), lambda p, t: (p - t, p + t)),
+    "signed": (lambda y, p: y - p, lambda p, t: (-math.inf, p + t)),
+    "asymmetric": (lambda y, p: y - p, lambda p, t: (p + t[0], p + t[1])),
+    "cqr": (lambda y, q: max(q[0] - y, y - q[1]), lambda q, t: (q[0] - t, q[1] + t)),
+}
+
+
 def asymmetric_bound(t_lo: Column, t_hi: Column, point: Column) -> tuple[Column, Column]:
     return point + t_lo, point + t_hi
 
@@ -37,6 +47,17 @@ def miss(y: Column, lower: Column, upper: Column) -> Column:
     return (F.coalesce(y < lower, F.lit(False)) | F.coalesce(y > upper, F.lit(False))).cast("double")
 
 
+def selective_loss(error: Column, upper: Column, alpha: float) -> Column:
+    """Between 0 and 1, and not monotone: an error counts where the upper bound, threshold less confidence, is negative."""
+    predicted = F.when(upper < 0, 1.0).otherwise(0.0)
+    return error * predicted - alpha * predicted + alpha
+
+
+def mask(target: Column, imputed: Column) -> Column:
+    """A target that rests on an imputed or censored value is missing."""
+    return F.when(~F.coalesce(imputed, F.lit(False)), target)
+
+
 def step_columns(steps: DataFrame, by: list[str]) -> DataFrame:
     """One target column a step: c = h."""
     return steps.select(*by, F.col("h").alias("c"), F.col("h").alias("last_step"), "point", "target", *[x for x in ("q_lo", "q_hi", "censored") if x in steps.columns])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ranks
+from ..functions.scores import PLAIN
 
 
 def check_window(window: int, capacity: int | None = None) -> None:
@@ -236,23 +237,25 @@ class Risk:
 class ConformalPID:
     """A proportional tracker on the seed's scale, a tangent integrator, and a scorecast of the scores ahead.
 
-    scorecaster gives the next score from the last `cast_window` ones; without one the scorecast is 0.
+    scorecaster(scores, ahead) gives the score `ahead` steps after the last `cast_window` known ones; without one the
+    scorecast is 0.
     """
 
     STATE = ("scale", "ring", "p", "e", "t")
 
-    def __init__(self, level: float, rate: float = 0.05, gain: float = 0.1, saturation: float = 5.0, window: int = 256, scorecaster=None, cast_window: int = 64):
+    def __init__(self, level: float, rate: float = 0.05, gain: float = 0.1, saturation: float = 5.0, window: int = 256, scorecaster=None, cast_window: int = 64, ahead: int = 1):
         check_window(window)
+        check_window(ahead)
         check_window(cast_window)
         if not 0 < level < 1 or rate <= 0 or gain < 0 or saturation <= 0:
             raise ValueError("level in (0, 1), rate and saturation positive, gain not negative")
         self.level, self.rate, self.gain, self.saturation, self.window, self.cast_window = level, rate, gain, saturation, window, cast_window
-        self.scorecaster, self.scale, self.ring, self.p, self.e, self.t = scorecaster, None, [], 0.0, 0.0, 0
+        self.scorecaster, self.ahead, self.scale, self.ring, self.p, self.e, self.t = scorecaster, ahead, None, [], 0.0, 0.0, 0
 
     def _ahead(self) -> float:
         if self.scorecaster is None:
             return 0.0
-        value = float(self.scorecaster(self.ring[-self.cast_window :]))
+        value = float(self.scorecaster(self.ring[-self.cast_window :], self.ahead))
         if not math.isfinite(value):
             raise ValueError("the scorecast must be finite")
         return max(value, 0.0)
@@ -269,15 +272,19 @@ class ConformalPID:
         rank = min(max(math.ceil(len(s) * self.level), 1), len(s))
         self.p = float(np.sort(s)[rank - 1]) - self._ahead()
 
-    def update(self, score: float, missed: bool) -> None:
+    def remember(self, score: float) -> None:
+        """A score of an origin that no bound was issued for: it may be forecast from, but nothing was missed or hit."""
         if self.scale is None:
             raise ValueError("seed first")
         if score < 0:
             raise ValueError("scores must not be negative")
+        self.ring = (self.ring + [score])[-self.window :]
+
+    def update(self, score: float, missed: bool) -> None:
+        self.remember(score)
         error = float(missed) - (1 - self.level)
         self.p += self.rate * self.scale * error
         self.e, self.t = self.e + error, self.t + 1
-        self.ring = (self.ring + [score])[-self.window :]
 
     def threshold(self) -> float:
         if self.scale is None:
@@ -287,31 +294,50 @@ class ConformalPID:
         return self.p + i + self._ahead()
 
 
-def fold(issues: DataFrame, make, two_sided: bool, seed_rows: int = 0) -> DataFrame:
+class ForecastScorecaster:
+    """Any function (values so far, horizon) -> horizon values as a scorecaster; the mean of fewer than `least` values, 0 of none."""
+
+    def __init__(self, model, least: int = 3):
+        check_window(least)
+        self.model, self.least = model, least
+
+    def __call__(self, values: list[float], ahead: int) -> float:
+        if len(values) < self.least:
+            return float(np.mean(values)) if values else 0.0
+        return float(np.asarray(self.model(np.asarray(values, float), ahead), float)[ahead - 1])
+
+
+def fold(issues: DataFrame, make, score: str = "absolute", seed_rows: int = 0) -> DataFrame:
     """issues with `threshold`, by a method object that make() gives for each (node, c).
 
-    Feedback comes in order of issue and is judged against the bounds as issued.  seed_rows: the first scores of a
-    cell seed the method, and the first issues have no threshold.  Infinite thresholds become NULL with ready false.
+    Feedback comes in order of issue; a target misses if it is outside the bounds as issued, which `score` makes of
+    the point (or of q_lo and q_hi) and the threshold.  seed_rows: the first scores of a cell seed the method, and
+    origins before that have no threshold; a score of such an origin that comes later is only remembered.  Infinite
+    thresholds become NULL with ready false.
     """
+    bound_of, native = PLAIN[score][1], score == "cqr"
     schema = "node string, c int, origin int, threshold double, ready boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("origin")
         method, issued, waiting, seeds, rows = make(), {}, [], [], []
-        score, last = dict(zip(pdf.origin, pdf.score)), int(pdf.last_step.iloc[0])
+        point = [(min(a, b), max(a, b)) for a, b in zip(pdf.q_lo, pdf.q_hi)] if native else pdf.point
+        known, last = {o: (s, y, p) for o, s, y, p in zip(pdf.origin, pdf.score, pdf.target, point)}, int(pdf.last_step.iloc[0])
         for o in pdf.origin:
             while waiting and waiting[0] + last <= o:
                 u = waiting.pop(0)
-                if not np.isfinite(score[u]):
+                value, target, p = known[u]
+                if not np.isfinite(value):
                     continue
                 if len(seeds) < seed_rows:
-                    seeds.append(score[u])
+                    seeds.append(value)
                     if len(seeds) == seed_rows:
                         method.seed(seeds)
+                elif u in issued:
+                    lower, upper = bound_of(p, issued[u])
+                    method.update(value, not lower <= target <= upper)
                 else:
-                    theta = issued.get(u)
-                    missed = theta is not None and (abs(score[u]) if two_sided else score[u]) > theta
-                    method.update(score[u], missed)
+                    method.remember(value)
             waiting.append(o)
             if len(seeds) < seed_rows:
                 rows.append((o, None, False))
@@ -323,7 +349,8 @@ def fold(issues: DataFrame, make, two_sided: bool, seed_rows: int = 0) -> DataFr
         out.insert(0, "node", pdf.node.iloc[0])
         return out
 
-    slim = issues.select("node", F.col("c").cast("int").alias("c"), F.col("last_step").cast("int").alias("last_step"), F.col("origin").cast("int").alias("origin"), "score")
+    points = ["q_lo", "q_hi"] if native else ["point"]
+    slim = issues.select("node", F.col("c").cast("int").alias("c"), F.col("last_step").cast("int").alias("last_step"), F.col("origin").cast("int").alias("origin"), "score", "target", *points)
     return issues.join(slim.groupBy("node", "c").applyInPandas(run, schema), ["node", "c", "origin"])
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .covariates import Covariate, at_steps
 
-def schedule(first: int, last: int, every: int = 1, horizon: int = 1) -> list[int]:
-    if first < 0 or last < first or every < 1 or horizon < 1:
-        raise ValueError("origins must be in order and nonnegative, the horizon at least 1")
-    return list(range(first, last + 1, every))
+def schedule(origins, n_periods: int, horizon: int, refit_every: int | None = None) -> list[int]:
+    """origins, checked: whole numbers of the panel's periods, strictly increasing."""
+    own = list(origins)
+    if not own or any(isinstance(o, bool) or int(o) != o for o in own) or any(b <= a for a, b in zip(own, own[1:])):
+        raise ValueError("origins must be strictly increasing whole numbers")
+    if own[0] < 0 or own[-1] >= n_periods or horizon < 1 or (refit_every is not None and refit_every < 1):
+        raise ValueError(f"origins must be periods of 0 to {n_periods - 1}, the horizon and refits at least 1")
+    return [int(o) for o in own]
 
 
 def _origins(panel: DataFrame, first: int, last: int) -> DataFrame:
@@ -35,19 +40,22 @@ def window_average(panel: DataFrame, size: int, horizon: int, first: int, last:
 
 
 def ar1(panel: DataFrame, horizon: int, first: int, last: int, slope_limit: float = 0.99) -> DataFrame:
-    """Least squares of y on its last value, over all pairs up to the origin; the slope is clipped."""
+    """Least squares of y on its last value, over all pairs up to the origin; the slope is clipped.
+
+    Sums are of differences from the series' first value, so a large level does not cancel a small spread.
+    """
     step = Window.partitionBy("node").orderBy("t")
     past = step.rowsBetween(Window.unboundedPreceding, 0)
-    pairs = panel.select("node", "t", F.col("value").alias("y"), F.lag("value").over(step).alias("x"))
-    both = F.col("x").isNotNull()
-    s = lambda e: F.sum(F.when(both, e)).over(past)
-    sums = pairs.select("node", "t", "y", s(F.lit(1.0)).alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"), s(F.col("x") * F.col("y")).alias("sxy"), s(F.col("x") * F.col("x")).alias("sxx"))
+    base = F.first("value").over(past)
+    pairs = panel.select("node", "t", base.alias("base"), (F.col("value") - base).alias("y")).withColumn("x", F.lag("y").over(step))
+    s = lambda e: F.sum(F.when(F.col("x").isNotNull(), e)).over(past)
+    sums = pairs.select("node", "t", "base", "y", s(F.lit(1.0)).alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"), s(F.col("x") * F.col("y")).alias("sxy"), s(F.col("x") * F.col("x")).alias("sxx"))
     spread, along = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     slope = F.when(spread > 0, F.greatest(F.lit(-slope_limit), F.least(F.lit(slope_limit), along / spread))).otherwise(0.0)
-    fit = sums.filter(F.col("t").between(max(first, 2), last)).select("node", F.col("t").alias("origin"), "y", "n", "sx", "sy", slope.alias("phi"))
+    fit = sums.filter(F.col("t").between(max(first, 2), last)).select("node", F.col("t").alias("origin"), "base", "y", "n", "sx", "sy", slope.alias("phi"))
     mean = (F.col("sy") / F.col("n") - F.col("phi") * F.col("sx") / F.col("n")) / (1 - F.col("phi"))
     steps = fit.select("*", mean.alias("mu"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-    return steps.select("node", "origin", "h", (F.col("mu") + F.pow("phi", F.col("h")) * (F.col("y") - F.col("mu"))).alias("point"))
+    return steps.select("node", "origin", "h", (F.col("base") + F.col("mu") + F.pow("phi", F.col("h")) * (F.col("y") - F.col("mu"))).alias("point"))
 
 
 def residuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
@@ -68,53 +76,12 @@ def history_quantiles(panel: DataFrame, size: int, lo: float, hi: float, horizon
     return out.select("node", "origin", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "point", "q_lo", "q_hi")
 
 
-def lag_matrix(y: np.ndarray, n_lags: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack([y[k : len(y) - n_lags + k] for k in range(n_lags)], 1)
-    return x, y[n_lags:]
-
+def local_model(panel: DataFrame, model, horizon: int, first: int, last: int) -> DataFrame:
+    """Points of any function (values so far, horizon) -> horizon values, called for each series and origin.
 
-def bootstrap_ensemble(panel: DataFrame, n_lags: int, first: int, last: int, estimators: int = 20, seed: int = 0, ridge: float = 1e-3) -> DataFrame:
-    """One-step forecasts of an ensemble of lag regressions on shared row resamples, fitted on periods up to `first`.
-
-    (node, origin, h, point, oob): rows up to `first` have the out-of-bag error oob of their own period instead of
-    a later point.  Bags are drawn until every row is left out of one, or 4 times the estimators are spent.
+    Models that are fitted and kept for several origins go through rolling.rolling_forecasts.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y, t = pdf["value"].to_numpy(float), pdf["t"].to_numpy()
-        x, target = lag_matrix(y[t <= first], n_lags)
-        draw, m = np.random.default_rng(seed), len(target)
-        bags: list[np.ndarray] = []
-        out = np.zeros(m, bool)
-        while len(bags) < estimators or not out.all():
-            if len(bags) >= max(4 * estimators, estimators + 20):
-                raise RuntimeError("some row is in every bag")
-            bags.append(np.sort(draw.integers(0, m, m)))
-            out |= ~np.isin(np.arange(m), bags[-1])
-        design = lambda z: np.hstack([np.ones((len(z), 1)), z])
-        a = design(x)
-        coefs = [np.linalg.solve(a[b].T @ a[b] + ridge * np.eye(a.shape[1]), a[b].T @ target[b]) for b in bags]
-        guess = np.stack([a @ c for c in coefs])
-        left = np.stack([~np.isin(np.arange(m), b) for b in bags])
-        oob = target - (guess * left).sum(0) / left.sum(0)
-        weight = (left / left.sum(0)).mean(1)
-        whole = design(np.stack([y[k : len(y) - n_lags + k + 1] for k in range(n_lags)], 1))
-        point = weight @ np.stack([whole @ c for c in coefs])
-        origin = t[n_lags - 1 :]
-        seeds = pd.DataFrame({"origin": t[n_lags - 1 : n_lags - 1 + m], "point": np.nan, "oob": oob})
-        later = pd.DataFrame({"origin": origin, "point": point, "oob": np.nan})
-        both = pd.concat([seeds, later[(later.origin >= first) & (later.origin <= last)]])
-        both.insert(0, "node", pdf["node"].iloc[0])
-        both["h"] = 1
-        return both[["node", "origin", "h", "point", "oob"]].astype({"origin": "int32", "h": "int32"}).replace({np.nan: None})
-
-    return panel.select("node", "t", "value").groupBy("node").applyInPandas(fit, "node string, origin int, h int, point double, oob double")
-
-
-def local_model(panel: DataFrame, model, horizon: int, first: int, last: int, refit_every: int = 1) -> DataFrame:
-    """Points of any function (values so far, horizon) -> horizon values, called for each series and origin."""
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")["value"].to_numpy(float)
         rows = [(pdf["node"].iloc[0], o, h + 1, float(p)) for o in range(first, min(last, len(y) - 1) + 1) for h, p in enumerate(model(y[: o + 1], horizon))]
@@ -123,27 +90,50 @@ def local_model(panel: DataFrame, model, horizon: int, first: int, last: int, re
     return panel.select("node", "t", "value").groupBy("node").applyInPandas(run, "node string, origin int, h int, point double")
 
 
-def lag_regression(panel: DataFrame, lags: list[int], horizon: int, first: int, last: int) -> DataFrame:
-    """One global linear model on lags, fitted on periods up to `first`, run forward step by step."""
+def lag_regression(
+    panel: DataFrame, lags: list[int], horizon: int, first: int, last: int, means: tuple[tuple[int, int], ...] = (), covariates: dict[str, Covariate] | None = None, edge: DataFrame | None = None, refit_every: int | None = None, ridge: float = 1e-3
+) -> DataFrame:
+    """One global linear model on lags, fitted on periods up to `first`, and each refit_every origins later, run forward step by step.
+
+    means: (lag, size), the mean of `size` values that end `lag` periods before the target.  covariates: static ones and
+    those known ahead enter with their value in the target's period; calendar features are covariates of t alone.  edge,
+    a hierarchy's edges, makes the values of nodes.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
+    known = covariates or {}
     step = Window.partitionBy("node").orderBy("t")
-    names = [f"lag{k}" for k in lags]
-    rows = panel.select("node", "t", "value", *[F.lag("value", k - 1).over(step).alias(n) for k, n in zip(lags, names)], F.lead("value").over(step).alias("next"))
-    rows = rows.dropna(subset=names)
-    assemble = VectorAssembler(inputCols=names, outputCol="x")
-    taught = assemble.transform(rows.filter((F.col("t") < first) & F.col("next").isNotNull()))
-    model = LinearRegression(featuresCol="x", labelCol="next", regParam=1e-3).fit(taught)
-    weight, base = [float(w) for w in model.coefficients], float(model.intercept)
-    past = F.collect_list("value").over(step.rowsBetween(-(max(lags) - 1), 0))
-    state = panel.select("node", F.col("t").alias("origin"), past.alias("y")).filter(F.col("origin").between(first, last))
-    for h in range(horizon):
-        ahead = F.lit(base)
-        for k, w in zip(lags, weight):
-            ahead = ahead + F.element_at("y", -k) * F.lit(w)
-        state = state.withColumn("y", F.concat("y", F.array(ahead)))
-    return state.select("node", "origin", F.posexplode(F.slice("y", -horizon, horizon)).alias("h", "point")).withColumn("h", F.col("h") + 1)
+    depth = max([*lags, *(k + n - 1 for k, n in means)])
+    past = F.collect_list("value").over(step.rowsBetween(-(depth - 1), 0))
+    inputs = lambda y: [F.element_at(y, -k) for k in lags] + [sum((F.element_at(y, -(k + j)) for j in range(n)), F.lit(0.0)) / n for k, n in means]
+    names = [f"x{k}" for k in range(len(lags) + len(means))]
+    rows = panel.select("node", F.col("t").alias("origin"), past.alias("y"), F.lead("value").over(step).alias("next")).filter(F.size("y") == depth)
+
+    def with_values(grid: DataFrame) -> DataFrame:
+        for name, own in known.items():
+            grid = at_steps(grid, own, edge, f"c_{name}")
+        return grid
+
+    taught_all = with_values(rows.filter(F.col("next").isNotNull()).withColumn("h", F.lit(1)))
+    taught_all = taught_all.select("origin", "next", *[e.alias(n) for e, n in zip(inputs(F.col("y")), names)], *[f"c_{n}" for n in known]).dropna()
+    assemble = VectorAssembler(inputCols=[*names, *[f"c_{n}" for n in known]], outputCol="x")
+    issued = rows.filter(F.col("origin").between(first, last)).select("node", "origin", "y")
+    if known:
+        grid = with_values(issued.select("node", "origin", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")))
+        ahead = grid.groupBy("node", "origin").agg(F.array_sort(F.collect_list(F.struct("h", *[f"c_{n}" for n in known]))).alias("ahead"))
+        issued = issued.join(ahead, ["node", "origin"])
+    out, starts = None, [first] if refit_every is None else list(range(first, last + 1, refit_every))
+    for at, after in zip(starts, [*starts[1:], last + 1]):
+        model = LinearRegression(featuresCol="x", labelCol="next", regParam=ridge).fit(assemble.transform(taught_all.filter(F.col("origin") < at)))
+        weight, base = [float(w) for w in model.coefficients], float(model.intercept)
+        state = issued.filter(F.col("origin").between(at, after - 1))
+        for h in range(horizon):
+            values = inputs(F.col("y")) + [F.col("ahead")[h][f"c_{n}"] for n in known]
+            state = state.withColumn("y", F.concat("y", F.array(sum((v * w for v, w in zip(values, weight)), F.lit(base)))))
+        part = state.select("node", "origin", F.posexplode(F.slice("y", -horizon, horizon)).alias("h", "point")).withColumn("h", F.col("h") + 1)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def global_model(

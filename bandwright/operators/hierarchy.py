@@ -49,59 +49,76 @@ def bottom_up(base: DataFrame, edge: DataFrame) -> DataFrame:
     return aggregate(base, edge, "point", ("origin", "h"))
 
 
-def projection(edge_rows: list[tuple[str, str, int]]) -> list[tuple[str, str, float]]:
-    """(node, base node, weight) of least-squares reconciliation with structural weights: leaf counts."""
-    bottoms = sorted({s for _, s, _ in edge_rows})
-    upper = sorted({n for n, _, level in edge_rows if level > 0})
-    names = bottoms + upper
-    under = np.zeros((len(upper), len(bottoms)))
-    for n, s, level in edge_rows:
-        if level > 0:
-            under[upper.index(n), bottoms.index(s)] = 1
-    leaves = np.concatenate([np.ones(len(bottoms)), under.sum(1)])
-    j = np.hstack([under, -np.eye(len(upper))])
-    p = np.eye(len(names)) - (leaves[:, None] * j.T) @ np.linalg.solve((j * leaves) @ j.T, j)
-    return [(names[a], names[b], float(p[a, b])) for a, b in zip(*np.nonzero(np.abs(p) > 1e-15))]
-
-
-def constraint_inverse(edge_rows: list[tuple[str, str, int]]) -> list[tuple[str, str, float]]:
-    """(node, other, weight): the inverse of J W J' over the nodes above the bottoms, J their sums less themselves, W leaf counts."""
-    members: dict[str, set[str]] = {}
-    for n, s, level in edge_rows:
-        if level > 0:
-            members.setdefault(n, set()).add(s)
-    names = sorted(members)
-    series = {s: k for k, s in enumerate(sorted(set().union(*members.values())))} if members else {}
-    under = np.zeros((len(names), len(series)))
-    for k, n in enumerate(names):
-        under[k, [series[s] for s in members[n]]] = 1
-    inverse = np.linalg.inv(under @ under.T + np.diag(under.sum(1))) if names else np.zeros((0, 0))
-    return [(names[a], names[b], float(inverse[a, b])) for a, b in zip(*np.nonzero(np.abs(inverse) > 1e-15))]
-
-
-def wls_struct(base: DataFrame, edge: DataFrame, most: int = 20_000, most_edges: int = 5_000_000) -> DataFrame:
+def nodes(edge: DataFrame) -> DataFrame:
+    """(idx, node, level, n_leaves): bottoms first, then levels in order, each by label; the total is last."""
+    order = F.row_number().over(Window.orderBy("level", "node")) - 1
+    # one row a node: as many as the hierarchy has
+    return edge.groupBy("node", "level").agg(F.count(F.lit(1)).alias("n_leaves")).select(order.alias("idx"), "node", "level", "n_leaves")
+
+
+def multipliers(under: tuple[np.ndarray, np.ndarray], leaves: np.ndarray, bottoms: int, off: np.ndarray, tolerance: float = 1e-13, most: int = 500) -> np.ndarray:
+    """x of (A A' + D) x = off by conjugate gradients; A has a 1 at each (upper, bottom) of under, D is diag(leaves).
+
+    Scaled by D, the nodes of one level add eigenvalues of at most 1 to the identity, so the condition is at most 1 and
+    the number of levels, whatever the number of nodes, and some tens of steps do.  No matrix is made.
+    """
+    upper, bottom = under
+    scale = 1 / np.sqrt(leaves)
+
+    def times(v):
+        w = v * scale
+        down = np.bincount(bottom, w[upper], bottoms)
+        return v + scale * np.bincount(upper, down[bottom], len(leaves))
+
+    b = off * scale
+    x, r = np.zeros_like(b), b.copy()
+    p, old = r.copy(), float(r @ r)
+    least = tolerance**2 * max(old, 1e-300)
+    for _ in range(most):
+        if old <= least:
+            break
+        q = times(p)
+        a = old / float(p @ q)
+        x, r = x + a * p, r - a * q
+        new = float(r @ r)
+        p, old = r + new / old * p, new
+    else:
+        raise RuntimeError("reconciliation did not converge")
+    return x * scale
+
+
+def wls_struct(base: DataFrame, edge: DataFrame, most_edges: int = 20_000_000) -> DataFrame:
     """Coherent points nearest to the base points of all nodes: least squares with structural weights, the leaf counts.
 
-    The system has one row for each node above the bottoms, and is inverted once, on the driver; over `most` such
-    nodes or `most_edges` edges that is refused.  How far each node is from its bottoms' sum, the multipliers and the corrections are
-    joins and sums over the hierarchy's edges; no table of node pairs that include bottoms is made.
+    The edges above the bottoms, most_edges at most, go to every task as two arrays of numbers.  The points of one
+    origin and step meet in one task, which solves for one multiplier a node above the bottoms.  A node without a point
+    is an error.
     """
-    rows = [tuple(r) for r in edge.filter("level > 0").select("node", "series", "level").limit(most_edges + 1).collect()]
-    count = len({n for n, _, _ in rows})
-    if count > most or len(rows) > most_edges:
-        raise ValueError(f"{count} nodes above the bottoms and {len(rows)} edges; {most} and {most_edges} at most")
+    rows = edge.filter("level > 0").select("node", "series").limit(most_edges + 1).toPandas()
+    if len(rows) > most_edges:
+        raise ValueError(f"the hierarchy has over {most_edges} edges")
+    upper, above = np.unique(rows["node"].to_numpy(str), return_inverse=True)
+    series, below = np.unique(rows["series"].to_numpy(str), return_inverse=True)
+    leaves = np.bincount(above, minlength=len(upper)).astype(float)
     spark = base.sparkSession
-    inverse = spark.createDataFrame(constraint_inverse(rows), "node string, other string, w double")
-    # the edges as read: they are not worked out again for each join
-    upper = spark.createDataFrame(rows, "node string, series string, level int")
-    under = upper.select("node", F.col("series").alias("bottom"))
-    # a node's own base point counts against it, each of its bottoms' for it
-    signed = under.select(F.col("node").alias("other"), F.col("bottom").alias("node"), F.lit(1.0).alias("sign"))
-    signed = signed.union(upper.select("node").distinct().select(F.col("node").alias("other"), "node", F.lit(-1.0)))
-    off = base.join(signed, "node").groupBy("other", "origin", "h").agg(F.sum(F.col("sign") * F.col("point")).alias("off"))
-    multiplier = off.join(inverse, "other").groupBy("node", "origin", "h").agg(F.sum(F.col("w") * F.col("off")).alias("m"))
-    leaves = under.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("leaves"))
-    up = multiplier.join(leaves, "node").select("node", "origin", "h", (F.col("leaves") * F.col("m")).alias("shift"))
-    down = multiplier.join(under, "node").select(F.col("bottom").alias("node"), "origin", "h", (-F.col("m")).alias("shift"))
-    shifts = base.select("node", "origin", "h", "point").union(up).union(down)
-    return shifts.groupBy("node", "origin", "h").agg(F.sum("point").alias("point"))
+    sent = spark.sparkContext.broadcast((upper, series, above.astype(np.int32), below.astype(np.int32), leaves))
+
+    def solve(pdf):
+        upper, series, above, below, leaves = sent.value
+        names = pdf["node"].to_numpy(str)
+        order = np.argsort(names)
+        at = [order[np.minimum(np.searchsorted(names, own, sorter=order), len(names) - 1)] for own in (upper, series)]
+        if (names[at[0]] != upper).any() or (names[at[1]] != series).any():
+            raise ValueError("every node of the hierarchy needs a base point")
+        point = pdf["point"].to_numpy(float).copy()
+        off = np.bincount(above, point[at[1]][below], len(upper)) - point[at[0]]
+        m = multipliers((above, below), leaves, len(series), off)
+        point[at[1]] -= np.bincount(below, m[above], len(series))
+        point[at[0]] += leaves * m
+        pdf["point"] = point
+        return pdf
+
+    if not len(rows):
+        return base.select("node", "origin", "h", "point")
+    own = base.select("node", F.col("origin").cast("int").alias("origin"), F.col("h").cast("int").alias("h"), F.col("point").cast("double").alias("point"))
+    return own.groupBy("origin", "h").applyInPandas(solve, "node string, origin int, h int, point double")

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ranks, scores
-from ..operators import calibrate, decision, forecast, hierarchy, metrics
+from ..operators import calibrate, covariates, decision, forecast, hierarchy, metrics, resample, rolling
 from ..sources import panel as panels
 
 SEASON, HORIZON, FIRST, LAST, WINDOW, LEVEL = 52, 4, 200, 349, 52, 0.9
 LEVELS = [["p_type"], ["r_name"]]
-#: Origins of the ledger query.
-CALLS = 8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,9 +154,9 @@ def panel_event_hours(spark, sf):
     return panels.event_hours(spark, sf).select("series", "t", "value")
 
 
-@query(BASE + " SELECT node, CAST(level AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n_leaves FROM edge GROUP BY 1, 2")
+@query(BASE + " SELECT CAST(row_number() OVER (ORDER BY level, node) - 1 AS INTEGER) AS idx, node, CAST(level AS INTEGER) AS level, n_leaves FROM (SELECT node, level, CAST(count(*) AS BIGINT) AS n_leaves FROM edge GROUP BY 1, 2)")
 def hierarchy_nodes(spark, sf):
-    return _edges(_panel(spark, sf)).groupBy("node", "level").agg(F.count(F.lit(1)).alias("n_leaves"))
+    return hierarchy.nodes(_edges(_panel(spark, sf)))
 
 
 @query(BASE + " SELECT node, t, value FROM nodes")
@@ -176,16 +174,41 @@ def hierarchy_any_bottom(spark, sf):
 @query(BASE + " SELECT node, t, round(avg(value), 6) AS value FROM panel JOIN edge USING (series) GROUP BY 1, 2")
 def covariate_node_mean(spark, sf):
     p = _panel(spark, sf)
-    return hierarchy.aggregate(p, _edges(p), how="mean").withColumn("value", F.round("value", 6))
+    own = covariates.Covariate(p.select("series", "t", "value"), aggregate="mean")
+    return covariates.on_nodes(own, _edges(p)).select("node", "t", F.round("value", 6).alias("value"))
 
 
-@query(BASE + " SELECT series, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, CAST(count(DISTINCT value) AS BIGINT) AS n_unique FROM panel GROUP BY 1")
+@query(BASE + f" SELECT series, t, round((value - c) / CASE WHEN d > 0 THEN d ELSE 1 END, 6) AS value FROM panel JOIN (SELECT series, avg(value) AS c, stddev_pop(value) AS d FROM panel WHERE t < {FIRST} GROUP BY 1) USING (series)")
+def panel_scaled(spark, sf):
+    p = _panel(spark, sf)
+    return panels.scaled(p, panels.scaling(p, FIRST)).select("series", "t", F.round("value", 6).alias("value"))
+
+
+@query(EVENTS + " SELECT CAST((SELECT max(f) FROM (SELECT min(t) AS f FROM grid WHERE v IS NOT NULL GROUP BY series)) - min(t) AS BIGINT) AS dropped FROM grid")
+def panel_dropped(spark, sf):
+    return panels.dropped_periods(panels.event_hours(spark, sf, None))
+
+
+@query(
+    BASE
+    + """, flag AS (SELECT node, t, bool_or(value >= 2 * m) AS high FROM panel JOIN (SELECT series, avg(value) AS m FROM panel GROUP BY 1) USING (series) JOIN edge USING (series) GROUP BY 1, 2)
+SELECT node, t, CASE WHEN NOT high THEN value END AS target FROM nodes JOIN flag USING (node, t)"""
+)
+def target_masked(spark, sf):
+    p = _panel(spark, sf)
+    edge = _edges(p)
+    flags = hierarchy.any_bottom(p.withColumn("high", F.col("value") >= 2 * F.avg("value").over(Window.partitionBy("series"))), edge, "high")
+    return hierarchy.aggregate(p, edge).join(flags, ["node", "t"]).select("node", "t", scores.mask(F.col("value"), F.col("high")).alias("target"))
+
+
+@query(
+    BASE
+    + """ SELECT series, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS excess_kurtosis,
+CAST(count(DISTINCT value) AS BIGINT) AS n_unique, CAST(count(*) - count(DISTINCT value) AS BIGINT) AS repeats FROM panel GROUP BY 1"""
+)
 def describe_panel(spark, sf):
-    v = F.col("value")
-    return _panel(spark, sf).groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((v == 0).cast("long")).alias("zeros"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.countDistinct(v).alias("n_unique"),
-    )
+    return metrics.describe(_panel(spark, sf), ["series"])
 
 
 # ---------------------------------------------------------------- forecasts
@@ -201,15 +224,17 @@ def fc_window_average(spark, sf):
     return forecast.window_average(_nodes(spark, sf), 8, HORIZON, FIRST, LAST).withColumn("point", F.round("point", 6))
 
 
-@query(
+AR1 = (
     BASE
     + f""", pairs AS (SELECT node, t, value AS y, lag(value) OVER (PARTITION BY node ORDER BY t) AS x FROM nodes),
-sums AS (SELECT node, t, y, count(x) OVER w AS n, sum(x) OVER w AS sx, sum(CASE WHEN x IS NOT NULL THEN y END) OVER w AS sy, sum(x * y) OVER w AS sxy, sum(x * x) OVER w AS sxx
-  FROM pairs WINDOW w AS (PARTITION BY node ORDER BY t ROWS UNBOUNDED PRECEDING)),
-fit AS (SELECT *, CASE WHEN n * sxx - sx * sx > 0 THEN greatest(-0.99, least(0.99, (n * sxy - sx * sy) / (n * sxx - sx * sx))) ELSE 0 END AS phi FROM sums)
-SELECT node, t AS origin, h, round(mu + phi ** h * (y - mu), 4) AS point
-FROM (SELECT *, (sy / n - phi * sx / n) / (1 - phi) AS mu FROM fit) CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON + 1})) AS INTEGER) AS h) WHERE t BETWEEN {FIRST} AND {LAST}"""
+sums AS (SELECT node, t, y, regr_slope(y, x) OVER w AS slope, regr_avgx(y, x) OVER w AS mx, regr_avgy(y, x) OVER w AS my FROM pairs WINDOW w AS (PARTITION BY node ORDER BY t ROWS UNBOUNDED PRECEDING)),
+fit AS (SELECT *, greatest(-0.99, least(0.99, CASE WHEN isfinite(slope) THEN slope ELSE 0 END)) AS phi FROM sums),
+ar AS (SELECT node, t AS origin, h, mu + phi ** h * (y - mu) AS point
+  FROM (SELECT *, (my - phi * mx) / (1 - phi) AS mu FROM fit) CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON + 1})) AS INTEGER) AS h) WHERE t BETWEEN {FIRST} AND {LAST})"""
 )
+
+
+@query(AR1 + " SELECT node, origin, h, round(point, 4) AS point FROM ar")
 def fc_ar1(spark, sf):
     return forecast.ar1(_nodes(spark, sf), HORIZON, FIRST, LAST).withColumn("point", F.round("point", 4))
 
@@ -230,11 +255,60 @@ def fc_wls_struct(spark, sf):
     return hierarchy.wls_struct(base, _edges(p)).withColumn("point", F.round("point", 4))
 
 
-@query()
+def _grid_inverse(types: int, regions: int) -> str:
+    """VALUES (level, other level, the same node, weight): the inverse of the constraints' matrix of a full grid, by kinds of nodes."""
+    under = np.zeros((types + regions + 1, types * regions))
+    for a in range(types):
+        for b in range(regions):
+            under[[a, types + b, -1], a * regions + b] = 1
+    inverse, level = np.linalg.inv(under @ under.T + np.diag(under.sum(1))), [1] * types + [2] * regions + [3]
+    kinds = {(level[a], level[b], a == b): float(inverse[a, b]) for a in range(len(level)) for b in range(len(level))}
+    return ", ".join(f"({a}, {b}, {same}, {w!r}::DOUBLE)" for (a, b, same), w in kinds.items())
+
+
+@query(
+    AR1
+    + f""", k(l1, l2, same, w) AS (VALUES {_grid_inverse(6, 5)}),
+off AS (SELECT e.node, e.level, b.origin, b.h, sum(b.point) - max(u.point) AS off, count(*) AS leaves
+  FROM edge e JOIN ar b ON b.node = e.series JOIN ar u ON u.node = e.node AND u.origin = b.origin AND u.h = b.h WHERE e.level > 0 GROUP BY 1, 2, 3, 4),
+mult AS (SELECT a.node, a.origin, a.h, max(a.leaves) AS leaves, sum(w * b.off) AS m FROM off a JOIN off b USING (origin, h) JOIN k ON l1 = a.level AND l2 = b.level AND same = (a.node = b.node) GROUP BY 1, 2, 3),
+down AS (SELECT e.series AS node, origin, h, sum(m) AS m FROM mult JOIN edge e ON e.node = mult.node AND e.level > 0 GROUP BY 1, 2, 3)
+SELECT a.node, a.origin, a.h, round(a.point + coalesce(mult.leaves * mult.m, 0) - coalesce(down.m, 0), 4) AS point
+FROM ar a LEFT JOIN mult USING (node, origin, h) LEFT JOIN down ON down.node = a.node AND down.origin = a.origin AND down.h = a.h"""
+)
 def fc_wls_window(spark, sf):
+    """AR1 points of all nodes, which are not coherent, reconciled."""
     p = _panel(spark, sf)
     base = forecast.ar1(hierarchy.aggregate(p, _edges(p)), HORIZON, FIRST, LAST)
-    return hierarchy.wls_struct(base, _edges(p))
+    return hierarchy.wls_struct(base, _edges(p)).withColumn("point", F.round("point", 4))
+
+
+@query(
+    BASE
+    + f""" SELECT n.node, n.t AS origin, h, n.value + leaves * ((n.t + h) % 13 - n.t % 13) AS point
+FROM nodes n JOIN (SELECT node, count(*) AS leaves FROM edge GROUP BY 1) USING (node) CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON + 1})) AS INTEGER) AS h) WHERE n.t BETWEEN {FIRST} AND {LAST}"""
+)
+def fc_rolling_bottom_up(spark, sf):
+    """The rolling driver: the last value moved by a calendar covariate that is known ahead, on the bottoms, summed up."""
+    p = _panel(spark, sf)
+    calendar = spark.range(LAST + HORIZON + 1).select(F.col("id").cast("int").alias("t"), (F.col("id") % 13).cast("double").alias("value"))
+
+    def guess(seen):
+        x = seen.x["phase"]
+        return seen.y[-1] + x[-seen.horizon :] - x[-seen.horizon - 1]
+
+    known = {"phase": covariates.Covariate(calendar, known_ahead=True)}
+    return rolling.rolling_forecasts(p, _edges(p), rolling.Plain(guess), rolling.BOTTOM_UP, list(range(FIRST, LAST + 1)), HORIZON, 50, known).points
+
+
+@query()
+def fc_lag_covariates(spark, sf):
+    """The global regression with a mean of lags and two covariates, refitted each 75 origins."""
+    p = _panel(spark, sf)
+    edge = _edges(p)
+    calendar = spark.range(LAST + HORIZON + 1).select(F.col("id").cast("int").alias("t"), F.sin(F.col("id") * 2 * np.pi / 52).alias("value"))
+    known = {"season": covariates.Covariate(calendar, known_ahead=True), "size": covariates.Covariate(p.filter(F.col("t") < FIRST).groupBy("series").agg(F.avg("value").alias("value")), aggregate="sum")}
+    return forecast.lag_regression(hierarchy.aggregate(p, edge), [1, 2, 52], HORIZON, FIRST, LAST, ((1, 8),), known, edge, 75)
 
 
 @query()
@@ -246,7 +320,9 @@ def fc_global_network(spark, sf):
 
 @query()
 def fc_bootstrap(spark, sf):
-    return forecast.bootstrap_ensemble(_bottoms(spark, sf), 4, FIRST, LAST)
+    p = _panel(spark, sf)
+    done = rolling.rolling_forecasts(p, hierarchy.flat(p), rolling.BootstrapEnsemble(4), rolling.IDENTITY, list(range(FIRST, LAST + 1)), 1, initial_residuals=True)
+    return done.points.select("node", "origin", "h", "point", F.lit(None).cast("double").alias("residual")).union(done.residuals.select("node", "origin", "h", F.lit(None).cast("double"), "residual"))
 
 
 @query()
@@ -394,10 +470,10 @@ GRID = [0.0, 50.0, 100.0, 200.0, 400.0, 800.0, 1600.0, 3200.0, 6400.0]
     + f""", g AS (SELECT CAST(unnest({GRID}) AS DOUBLE) AS theta),
 fed AS (SELECT i.node, i.c, i.origin, theta, coalesce(sum(CASE WHEN r.score > theta THEN 1.0 ELSE 0.0 END), 0) AS risk, count(r.score) AS n
   FROM issues i CROSS JOIN g LEFT JOIN issues r ON r.node = i.node AND r.c = i.c AND r.origin + r.last_step <= i.origin AND r.target IS NOT NULL GROUP BY 1, 2, 3, 4)
-SELECT node, c, origin, min(CASE WHEN risk + 1.0 <= CAST(0.1 AS DOUBLE) * (n + 1) THEN theta END) AS threshold, CAST(max(n) AS BIGINT) AS n_known FROM fed WHERE c = 1 GROUP BY 1, 2, 3"""
+SELECT node, c, origin, min(CASE WHEN risk + 1.0 <= CAST(0.1 AS DOUBLE) * (n + 1) THEN theta END) AS threshold, CAST(max(n) AS BIGINT) AS n_known FROM fed GROUP BY 1, 2, 3"""
 )
 def risk_control_miss(spark, sf):
-    issues = _issues(_nodes(spark, sf)).filter("c = 1")
+    issues = _issues(_nodes(spark, sf))
     loss = lambda theta: scores.miss(F.col("target"), F.col("point") - theta, F.col("point") + theta)
     return calibrate.risk_control(issues, GRID, 0.1, loss).select("node", "c", "origin", "threshold", "n_known")
 
@@ -418,27 +494,61 @@ def cqr_band(spark, sf):
     return _band(calibrate.split(scored, LEVEL, WINDOW), scores.CQR).select("node", "c", "origin", "lower", "upper")
 
 
+RECURSIVE = FORECAST.replace("WITH item", "WITH RECURSIVE item")
+#: Whether the target of `c` origins ago, f, was outside the bounds that the last thresholds gave; NULL where none was issued.
+MISSED = "CASE WHEN f.target BETWEEN f.point - r.past[-o.c] AND f.point + r.past[-o.c] THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
 @query(
-    FORECAST.replace("WITH item", "WITH RECURSIVE item")
-    + """, one AS (SELECT node, origin, score, row_number() OVER (PARTITION BY node ORDER BY origin) AS k FROM issues WHERE c = 1),
-run AS (SELECT node, k, origin, score, CAST(0 AS DOUBLE) AS theta FROM one WHERE k = 1
-  UNION ALL SELECT o.node, o.k, o.origin, o.score, r.theta + 100.0::DOUBLE * ((CASE WHEN r.score > r.theta THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - (1 - 0.9::DOUBLE))
-  FROM run r JOIN one o ON o.node = r.node AND o.k = r.k + 1)
-SELECT node, origin, round(theta, 6) AS threshold FROM run"""
+    RECURSIVE
+    + f""", run AS (SELECT node, c, origin, 0.0::DOUBLE AS theta, [0.0::DOUBLE] AS past FROM issues WHERE origin = {FIRST}
+  UNION ALL SELECT node, c, origin, theta, list_append(past[-3:], theta) FROM (
+    SELECT o.node, o.c, o.origin, r.past, r.theta + CASE WHEN f.score IS NULL THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * ({MISSED} - (1 - 0.9::DOUBLE)) END AS theta
+    FROM run r JOIN issues o ON o.node = r.node AND o.c = r.c AND o.origin = r.origin + 1 LEFT JOIN issues f ON f.node = o.node AND f.c = o.c AND f.origin = o.origin - o.c))
+SELECT node, c, origin, round(theta, 6) AS threshold FROM run"""
 )
 def tracker_bound(spark, sf):
-    done = calibrate.fold(_issues(_nodes(spark, sf)).filter("c = 1"), lambda: calibrate.Tracker(0.9, 100.0), True)
-    return done.select("node", "origin", F.round("threshold", 6).alias("threshold"))
+    done = calibrate.fold(_issues(_nodes(spark, sf)), lambda: calibrate.Tracker(0.9, 100.0))
+    return done.select("node", "c", "origin", F.round("threshold", 6).alias("threshold"))
 
 
-@query()
+_ACI = "CASE WHEN work >= 1 THEN 'inf'::DOUBLE WHEN work <= 0 THEN '-inf'::DOUBLE ELSE coalesce(CASE WHEN ceil((n + 1) * greatest(1e-6, least(1 - 1e-6, work))) <= n THEN hist[CAST(ceil((n + 1) * greatest(1e-6, least(1 - 1e-6, work))) AS BIGINT)] END, 'inf'::DOUBLE) END"
+
+
+@query(
+    RECURSIVE
+    + _known().replace("known AS", "known AS MATERIALIZED", 1)
+    + f""", own AS MATERIALIZED (SELECT i.*, coalesce(len(hist), 0) AS n, hist FROM issues i LEFT JOIN sorted USING (node, c, origin)),
+run AS (SELECT node, c, origin, 0.9::DOUBLE AS work, 'inf'::DOUBLE AS theta, ['inf'::DOUBLE] AS past FROM own WHERE origin = {FIRST}
+  UNION ALL SELECT node, c, origin, work, {_ACI} AS theta, list_append(past[-3:], {_ACI}) FROM (
+    SELECT o.node, o.c, o.origin, o.n, o.hist, r.past, r.work + CASE WHEN f.score IS NULL THEN 0.0::DOUBLE ELSE 0.01::DOUBLE * ({MISSED} - (1 - 0.9::DOUBLE)) END AS work
+    FROM run r JOIN own o ON o.node = r.node AND o.c = r.c AND o.origin = r.origin + 1 LEFT JOIN issues f ON f.node = o.node AND f.c = o.c AND f.origin = o.origin - o.c))
+SELECT node, c, origin, isfinite(theta) AS ready, CASE WHEN isfinite(theta) THEN theta END AS threshold, CASE WHEN isfinite(theta) THEN point - theta END AS lower, CASE WHEN isfinite(theta) THEN point + theta END AS upper
+FROM run JOIN issues USING (node, c, origin)"""
+)
 def aci_band(spark, sf):
-    return _band(calibrate.fold(_issues(_nodes(spark, sf)), lambda: calibrate.Adaptive(LEVEL, 0.01, WINDOW), True)).select("node", "c", "origin", "ready", "threshold", "lower", "upper")
+    return _band(calibrate.fold(_issues(_nodes(spark, sf)), lambda: calibrate.Adaptive(LEVEL, 0.01, WINDOW))).select("node", "c", "origin", "ready", "threshold", "lower", "upper")
 
 
-@query()
+SEEDS = 26
+
+
+@query(
+    RECURSIVE
+    + f""", seed AS MATERIALIZED (SELECT node, c, greatest(stddev_pop(score), 0.1::DOUBLE * avg(score), 1e-8::DOUBLE) AS scale, list(score ORDER BY score)[CAST(ceil({SEEDS} * 0.9::DOUBLE) AS BIGINT)] AS p0
+  FROM issues WHERE origin < {FIRST + SEEDS} GROUP BY 1, 2),
+run AS (SELECT node, c, {FIRST + SEEDS - 1} + c AS origin, scale, p0 AS p, 0.0::DOUBLE AS e, 0 AS n, p0 AS theta, [p0] AS past FROM seed
+  UNION ALL SELECT node, c, origin, scale, p, e, n, p + 0.1::DOUBLE * scale * tan(e * ln(n + 1) / (5.0::DOUBLE * (n + 1))) AS theta,
+    list_append(past[-3:], p + 0.1::DOUBLE * scale * tan(e * ln(n + 1) / (5.0::DOUBLE * (n + 1)))) FROM (
+    SELECT node, c, origin, scale, past, p + 0.05::DOUBLE * scale * err AS p, e + err AS e, n + fed AS n FROM (
+      SELECT o.node, o.c, o.origin, r.scale, r.past, r.p, r.e, r.n, CASE WHEN f.score IS NULL THEN 0 ELSE 1 END AS fed, CASE WHEN f.score IS NULL THEN 0.0::DOUBLE ELSE {MISSED} - (1 - 0.9::DOUBLE) END AS err
+      FROM run r JOIN issues o ON o.node = r.node AND o.c = r.c AND o.origin = r.origin + 1
+      LEFT JOIN issues f ON f.node = o.node AND f.c = o.c AND f.origin = o.origin - o.c AND f.origin >= {FIRST + SEEDS - 1} + f.c)))
+SELECT i.node, i.c, i.origin, theta IS NOT NULL AS ready, round(theta, 4) AS threshold, round(point - theta, 4) AS lower, round(point + theta, 4) AS upper FROM issues i LEFT JOIN run USING (node, c, origin)"""
+)
 def pid_band(spark, sf):
-    return _band(calibrate.fold(_issues(_nodes(spark, sf)), lambda: calibrate.ConformalPID(LEVEL), True, 26)).select("node", "c", "origin", "ready", "threshold", "lower", "upper")
+    band = _band(calibrate.fold(_issues(_nodes(spark, sf)), lambda: calibrate.ConformalPID(LEVEL), seed_rows=SEEDS))
+    return band.select("node", "c", "origin", "ready", *[F.round(x, 4).alias(x) for x in ("threshold", "lower", "upper")])
 
 
 @query()
@@ -487,6 +597,24 @@ def compare_methods(spark, sf):
     return table.select("method", *[F.round(c, 6).alias(c) for c in ("ready", "coverage", "width", "interval_score")])
 
 
+@query(
+    FORECAST
+    + ", lead AS (SELECT *, target - point AS score FROM lead2)"
+    + _known("lead")
+    + f""", lv AS (SELECT node, min(level) AS level FROM edge GROUP BY 1),
+b AS (SELECT CAST(level AS INTEGER) AS level, target, point + {_rank()} AS upper FROM lead i JOIN lv USING (node) LEFT JOIN sorted USING (node, c, origin))
+SELECT 'split' AS method, level, round(avg(CASE WHEN upper IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ready, round(avg(CASE WHEN target <= upper THEN 1.0 ELSE 0.0 END) FILTER (WHERE target IS NOT NULL AND upper IS NOT NULL), 6) AS coverage,
+  round(avg(greatest(0.9 * (target - upper), (0.9 - 1) * (target - upper))), 6) AS pinball FROM b GROUP BY 2"""
+)
+def compare_levels(spark, sf):
+    """One-sided bounds of the lead time, by level of the hierarchy."""
+    p = _panel(spark, sf)
+    edge = _edges(p)
+    bound = _band(calibrate.split(_lead(hierarchy.aggregate(p, edge), 2, scores.SIGNED), LEVEL, WINDOW), scores.SIGNED)
+    table = metrics.compare({"split": bound.join(edge.select("node", "level").distinct(), "node")}, LEVEL, "level", one_sided=True)
+    return table.select("method", "level", *[F.round(c, 6).alias(c) for c in ("ready", "coverage", "pinball")])
+
+
 @query("SELECT c_custkey, round(CAST(0.5 AS DOUBLE) / (0.5 + (1 + c_nationkey)), 6) AS ratio FROM customer")
 def critical_ratio(spark, sf):
     return panels.table(spark, sf, "customer").select("c_custkey", F.round(decision.critical_ratio(F.lit(1.0) + F.col("c_nationkey"), F.lit(0.5)), 6).alias("ratio"))
@@ -498,45 +626,84 @@ def order_up_to(spark, sf):
     return b.select("node", "origin", decision.order_up_to(F.col("upper"), F.lit(10.0), F.array(F.lit(5.0), F.lit(2.0))).alias("ordered"))
 
 
-@query(
+PLAY = (
     BASE.replace("WITH item", "WITH RECURSIVE item")
-    + """, d AS (SELECT series, t - 200 AS period, value AS demand, CASE WHEN t < 206 THEN value END AS bound FROM panel WHERE t BETWEEN 200 AND 207),
+    + """, d AS (SELECT series, t - 200 AS period, value AS demand, CASE WHEN t < 206 THEN lag(value, 1) OVER (PARTITION BY series ORDER BY t) + 100 END AS bound FROM panel WHERE t BETWEEN 199 AND 207),
 run AS (
-  SELECT series, period, demand, 0.0::DOUBLE AS sales, demand AS missed, 0.0::DOUBLE AS end_inventory, 0.0::DOUBLE AS p1, greatest(bound, 0.0)::DOUBLE AS p2, greatest(bound, 0.0)::DOUBLE AS ordered FROM d WHERE period = 0
+  SELECT DISTINCT series, -1 AS period, 0.0::DOUBLE AS demand, 0.0::DOUBLE AS sales, 0.0::DOUBLE AS missed, 50.0::DOUBLE AS end_inventory, 20.0::DOUBLE AS p1, 10.0::DOUBLE AS p2, 0.0::DOUBLE AS ordered FROM d
   UNION ALL
   SELECT d.series, d.period, d.demand, least(r.end_inventory + r.p1, d.demand), d.demand - least(r.end_inventory + r.p1, d.demand),
     r.end_inventory + r.p1 - least(r.end_inventory + r.p1, d.demand), r.p2, coalesce(greatest(d.bound - (r.end_inventory + r.p1 + r.p2), 0.0), 0.0), coalesce(greatest(d.bound - (r.end_inventory + r.p1 + r.p2), 0.0), 0.0)
-  FROM run r JOIN d ON d.series = r.series AND d.period = r.period + 1)
-SELECT series, CAST(period AS INTEGER) AS period, demand, sales, missed, end_inventory, ordered, round(0.2 * end_inventory, 6) AS holding_cost, missed * 1.0 AS shortage_cost FROM run"""
+  FROM run r JOIN d ON d.series = r.series AND d.period = r.period + 1)"""
 )
-def settle_play(spark, sf):
-    p = _panel(spark, sf).filter("t between 200 and 207").withColumn("bound", F.when(F.col("t") < 206, F.col("value")))
+
+
+def _play(spark, sf):
+    """Orders for six weeks up to last week's demand and 100 more, settled over eight, from some stock and orders under way."""
+    last = F.lag("value").over(Window.partitionBy("series").orderBy("t"))
+    p = _panel(spark, sf).filter("t between 199 and 207").withColumn("bound", F.when(F.col("t") < 206, last + 100)).filter("t >= 200")
     series = p.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "bound", F.col("value").alias("demand")))).alias("periods"))
-    return decision.play(series, 2, 0.2, 1.0).withColumn("holding_cost", F.round("holding_cost", 6))
+    return decision.play(series.withColumns({"on_hand": F.lit(50.0), "in_transit": F.array(F.lit(20.0), F.lit(10.0))}), 2, 0.2, 1.0)
+
+
+@query(PLAY + " SELECT series, CAST(period AS INTEGER) AS period, demand, sales, missed, end_inventory, ordered, round(0.2 * end_inventory, 6) AS holding_cost, missed * 1.0 AS shortage_cost FROM run WHERE period >= 0")
+def settle_play(spark, sf):
+    return _play(spark, sf).withColumn("holding_cost", F.round("holding_cost", 6))
+
+
+@query(PLAY + " SELECT round(sum(0.2 * end_inventory), 4) AS holding, round(sum(missed * 1.0), 4) AS shortage, round(sum(0.2 * end_inventory) + sum(missed * 1.0), 4) AS total FROM run WHERE period >= 0")
+def play_costs(spark, sf):
+    return decision.played_costs(_play(spark, sf)).select(*[F.round(c, 4).alias(c) for c in ("holding", "shortage", "total")])
+
+
+PERIOD, FOLDS, BLOCK, REPLICATES = 5, [50, 50, 50], 10, 1000
+
+
+def _losses(spark, sf):
+    return _issues(_nodes(spark, sf)).filter("score is not null").select("node", "c", (F.col("origin") - FIRST).alias("place"), "score")
 
 
 @query(
     FORECAST
-    + """, d AS (SELECT node, origin, score - avg(score) OVER (PARTITION BY node) AS e FROM issues WHERE c = 1 AND score IS NOT NULL),
-l AS (SELECT *, lag(e, 7) OVER (PARTITION BY node ORDER BY origin) AS b FROM d) SELECT node, round(sum(e * b) / sum(e * e), 6) AS acf FROM l GROUP BY 1"""
+    + ", l AS (SELECT node, c, origin, score, (origin - 200) % 5 AS phase FROM issues WHERE score IS NOT NULL), m AS (SELECT *, score - avg(score) OVER (PARTITION BY node, c) AS raw, score - avg(score) OVER (PARTITION BY node, c, phase) AS own FROM l)"
+    + " UNION ALL ".join(
+        f"{', z AS (' if k == 0 else ''}SELECT node, c, {lag} AS lag, raw, own, lag(raw, {lag}) OVER w AS rb, lag(own, {lag}) OVER w AS ob FROM m WINDOW w AS (PARTITION BY node, c ORDER BY origin)" for k, lag in enumerate((5, 35))
+    )
+    + ") SELECT node, c, lag, CAST(count(rb) AS BIGINT) AS n_pairs, round(sum(raw * rb) / sum(raw * raw), 6) AS raw_acf, round(sum(own * ob) / sum(own * own), 6) AS phase_acf FROM z GROUP BY 1, 2, 3"
 )
 def loss_acf(spark, sf):
-    own = Window.partitionBy("node")
-    d = _issues(_nodes(spark, sf)).filter("c = 1 and score is not null").withColumn("e", F.col("score") - F.avg("score").over(own))
-    d = d.withColumn("b", F.lag("e", 7).over(own.orderBy("origin")))
-    return d.groupBy("node").agg(F.round(F.sum(F.col("e") * F.col("b")) / F.sum(F.col("e") * F.col("e")), 6).alias("acf"))
+    out = resample.autocorrelation(_losses(spark, sf), ["node", "c"], "place", "score", PERIOD)
+    return out.select("node", "c", "lag", "n_pairs", F.round("raw_acf", 6).alias("raw_acf"), F.round("phase_acf", 6).alias("phase_acf"))
 
 
-@query()
+BOOTSTRAP = (
+    FORECAST
+    + f""", cyc AS (SELECT node, c, CAST((origin - {FIRST}) // {PERIOD} AS INTEGER) AS cycle, avg(score) AS loss FROM issues WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+drawn AS (SELECT r AS replicate, s AS slot, (CAST('0x' || substr(md5('42|' || r || '|' || (s // 2)), 1, 8) AS BIGINT) % 30 + s % 2) % 30 AS cycle
+  FROM (SELECT unnest(range(1, {REPLICATES + 1})) AS r) CROSS JOIN (SELECT unnest(range(0, 30)) AS s) UNION ALL SELECT 0, s, s FROM (SELECT unnest(range(0, 30)) AS s)),
+fold AS (SELECT node, c, replicate, slot // 10 AS fold, avg(loss) AS loss FROM cyc JOIN drawn USING (cycle) GROUP BY 1, 2, 3, 4),
+draws AS (SELECT node, c, CAST(replicate AS INTEGER) AS replicate, avg(loss) AS loss FROM fold GROUP BY 1, 2, 3)"""
+)
+
+
+def _draws(spark, sf):
+    return resample.block_bootstrap(_losses(spark, sf), ["node", "c"], "place", "score", PERIOD, FOLDS, BLOCK, REPLICATES)
+
+
+@query(BOOTSTRAP + " SELECT node, c, replicate, round(loss, 6) AS loss FROM draws")
 def block_bootstrap(spark, sf):
-    """Mean loss of circular blocks of seven origins, redrawn with the same draws for every node."""
-    losses = _issues(_nodes(spark, sf)).filter("c = 1 and score is not null")
-    cycles = losses.groupBy("node", F.floor((F.col("origin") - FIRST) / 7).cast("int").alias("cycle")).agg(F.avg("score").alias("loss"))
-    n = (LAST - FIRST + 1) // 7
-    draws = np.random.default_rng(0).integers(0, n, (200, n))
-    rows = [(r, int(k), int((draws[r] == k).sum())) for r in range(200) for k in set(draws[r].tolist())]
-    drawn = spark.createDataFrame(rows, "replicate int, cycle int, times int")
-    return cycles.join(F.broadcast(drawn), "cycle").groupBy("node", "replicate").agg((F.sum(F.col("loss") * F.col("times")) / F.sum("times")).alias("loss"))
+    """Mean loss of 150 origins as three folds of ten cycles, redrawn a thousand times from circular blocks of two cycles, alike for every node and step."""
+    return _draws(spark, sf).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    BOOTSTRAP
+    + """, s AS (SELECT node, c, max(loss) FILTER (WHERE replicate = 0) AS estimate, list(loss ORDER BY loss) FILTER (WHERE replicate > 0) AS v, avg(loss) FILTER (WHERE replicate > 0) AS mean FROM draws GROUP BY 1, 2)
+SELECT node, c, round(estimate, 6) AS estimate, round(v[25], 6) AS lower, round(v[975], 6) AS upper, round(mean, 6) AS bootstrap_mean, round(mean - estimate, 6) AS bootstrap_bias, 'ok' AS status FROM s"""
+)
+def bootstrap_summary(spark, sf):
+    table = resample.summary(_draws(spark, sf), ["node", "c"], REPLICATES)
+    return table.select("node", "c", *[F.round(x, 6).alias(x) for x in ("estimate", "lower", "upper", "bootstrap_mean", "bootstrap_bias")], "status")
 
 
 @query()
@@ -545,32 +712,33 @@ def stream_tracker(spark, sf):
     from ..streaming import online
 
     base = panels.scratch(spark, "stream")
-    issues = _issues(_nodes(spark, sf)).filter("c = 1").select("node", F.col("c").cast("int").alias("c"), F.col("last_step").cast("int").alias("last_step"), F.col("origin").cast("int").alias("origin"), "score")
+    own = _issues(_nodes(spark, sf))
+    issues = panels.kept(own.select("node", *[F.col(x).cast("int").alias(x) for x in ("c", "last_step", "origin")], "point", "target", "score"), "stream-issues")
     for part in ("origin < 275", "origin >= 275"):
         issues.filter(part).write.mode("append").parquet(base + "/in")
         stream = online.track(spark.readStream.schema(issues.schema).parquet(base + "/in"), 0.9, 100.0)
         stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").trigger(availableNow=True).start(base + "/out").awaitTermination()
-    return spark.read.schema(online.OUT).parquet(base + "/out").select("node", "origin", F.round("threshold", 6).alias("threshold"))
+    return spark.read.schema(online.OUT).parquet(base + "/out").select("node", "c", "origin", F.round("threshold", 6).alias("threshold"))
 
 
 ORACLE_SQL["stream_tracker"] = ORACLE_SQL["tracker_bound"]
 
 
-@query(f"SELECT * FROM ({ORACLE_SQL['tracker_bound']}) WHERE origin < {FIRST + CALLS}")
+@query(ORACLE_SQL["tracker_bound"])
 def ledger_tracker(spark, sf):
-    """The tracker through the ledger: one call an origin, each from the table that the call before saved."""
+    """The tracker through the ledger, all origins and steps: half of them, then the rest from the table that was saved."""
     from ..streaming import ledger
 
-    base, cover, make = panels.scratch(spark, "ledger"), ledger.per_step(1), lambda c: calibrate.Tracker(0.9, 100.0)
-    nodes = _nodes(spark, sf).filter(F.col("t").between(FIRST - SEASON, FIRST + CALLS)).persist()
+    base, cover, make = panels.scratch(spark, "ledger"), ledger.per_step(HORIZON), lambda c: calibrate.Tracker(0.9, 100.0)
+    nodes = panels.kept(_nodes(spark, sf), "ledger-nodes")
+    points = forecast.seasonal_naive(nodes, SEASON, HORIZON, FIRST, LAST)
     state, out = ledger.initial_state(nodes.select("node").distinct(), cover, make), None
-    for o in range(FIRST, FIRST + CALLS):
-        points = forecast.seasonal_naive(nodes, SEASON, 1, o, o)
-        ledger.step(state, o, points, nodes.filter(F.col("t") == o), f"{base}/{o}", cover=cover, make=make)
-        state = ledger.load_state(spark, f"{base}/{o}")
-        made = ledger.issues(state).select("node", "origin", F.round("threshold", 6).alias("threshold"))
+    for at, after in ((FIRST, 275), (275, LAST + 1)):
+        new = nodes.filter(F.col("t").between(at if at > FIRST else 0, after - 1))
+        ledger.replay(state, list(range(at, after)), points, new, f"{base}/{at}", cover=cover, make=make)
+        state = ledger.load_state(spark, f"{base}/{at}")
+        made = ledger.issues(state).select("node", "c", "origin", F.round("threshold", 6).alias("threshold"))
         out = made if out is None else out.union(made)
-    nodes.unpersist()
     return out
 
 

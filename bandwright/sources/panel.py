@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names, or in one of our own where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bandwright-")
+    """A new folder in the shared one that the session names, or, on one machine, in one of our own where it names none."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="bandwright-")
+        _OWN[context.applicationId] = base
     return f"{base.rstrip('/')}/bandwright/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,12 +52,17 @@ def complete(long: DataFrame, period: str, unit: str, step: str, attributes: lis
     return full.select(F.concat_ws("/", *attributes).alias("series"), *attributes, "t", "period", value.alias("value"))
 
 
-def from_long(frame: DataFrame, series: str = "series", period: str = "period", value: str = "value") -> DataFrame:
-    """A validated panel of a complete long frame; a missing, doubled or non-finite cell is an error."""
+def from_long(frame: DataFrame, series: str = "series", period: str = "period", value: str = "value", step: str | None = None) -> DataFrame:
+    """A validated panel of a complete long frame; a missing, doubled or non-finite cell is an error.
+
+    step, such as "7 days", is how far periods are apart: one that no series has is an error too.
+    """
     own = frame.select(F.col(series).alias("series"), F.col(period).alias("period"), F.col(value).cast("double").alias("value"))
     faults = validate(own).filter("n > 0").collect()
     if faults:
         raise ValueError("; ".join(f"{r['rule']}: {r['n']}" for r in faults))
+    if step is not None and calendar_gaps(own, step).limit(1).count():
+        raise ValueError(f"periods must be {step} apart")
     return own.join(_numbered(own), "period")
 
 
@@ -82,6 +95,35 @@ def forward_fill(panel: DataFrame) -> DataFrame:
     return filled.join(F.broadcast(first), "one").filter("t >= start").drop("one", "start")
 
 
+def dropped_periods(panel: DataFrame) -> DataFrame:
+    """(dropped): how many leading periods forward_fill leaves out, those before every series has a value."""
+    first = panel.filter("value is not null").groupBy("series").agg(F.min("t").alias("f")).agg(F.max("f").alias("start"))
+    low = panel.agg(F.min("t").alias("low")).crossJoin(F.broadcast(first))  # one row each
+    return low.select((F.col("start") - F.col("low")).cast("long").alias("dropped"))
+
+
+def scaling(panel: DataFrame, train_end: int) -> DataFrame:
+    """(series, centre, scale): mean and population deviation of the periods before train_end; a constant series has scale 1."""
+    own = panel.filter(F.col("t") < train_end).groupBy("series").agg(F.avg("value").alias("centre"), F.stddev_pop("value").alias("scale"))
+    return own.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+
+
+def scaled(panel: DataFrame, spec: DataFrame, value: str = "value") -> DataFrame:
+    return panel.join(spec, "series").withColumn(value, (F.col(value) - F.col("centre")) / F.col("scale")).drop("centre", "scale")
+
+
+def restored(panel: DataFrame, spec: DataFrame, value: str = "value") -> DataFrame:
+    return panel.join(spec, "series").withColumn(value, F.col(value) * F.col("scale") + F.col("centre")).drop("centre", "scale")
+
+
+def folds(n: int, count: int, test: int, calibration: int, train: int) -> list[tuple[int, int, int, int, int]]:
+    """(fold, train start, train end, test start, test end): the last `count` blocks of `test` periods, with the periods before each."""
+    first = n - count * test
+    if min(count, test, train) < 1 or calibration < 0 or first - calibration - train < 0:
+        raise ValueError("there are too few periods for these folds")
+    return [(k, at - calibration - train, at - calibration, at, at + test) for k, at in enumerate(range(first, n, test))]
+
+
 def from_wide(frame: DataFrame, keys: list[str], name: str = "period", value: str = "value") -> DataFrame:
     """Columns beside keys become rows."""
     return frame.unpivot(keys, [c for c in frame.columns if c not in keys], name, value)

@@ -14,9 +14,9 @@ OUT = "node string, c int, origin int, threshold double"
 
 
 def track(stream: DataFrame, level: float, rate: float) -> DataFrame:
-    """(node, c, origin, threshold) of issues (node, c, last_step, origin, score) that arrive in order of origin.
+    """(node, c, origin, threshold) of issues (node, c, last_step, origin, point, target, score) that arrive in order of origin.
 
-    State holds theta and the issues that wait for their score.  An origin not after the last one is an error.
+    A target misses if it is outside the point's bounds as issued.  State holds theta and the issues that wait for their score.  An origin not after the last one is an error.
     """
 
     def update(key, batches, state):
@@ -27,11 +27,11 @@ def track(stream: DataFrame, level: float, rate: float) -> DataFrame:
                 if last is not None and r.origin <= last:
                     raise ValueError(f"origin {r.origin} is not after {last}")
                 while waiting and waiting[0][0] + r.last_step <= r.origin:
-                    _, score, bound = waiting.pop(0)
+                    _, score, target, lower, upper = waiting.pop(0)
                     if score is not None:
-                        method.update(score, score > bound)
+                        method.update(score, not lower <= target <= upper)
                 rows.append((key[0], key[1], int(r.origin), method.theta))
-                waiting.append((int(r.origin), None if pd.isna(r.score) else float(r.score), method.theta))
+                waiting.append((int(r.origin), None if pd.isna(r.score) else float(r.score), None if pd.isna(r.target) else float(r.target), r.point - method.theta, r.point + method.theta))
                 last = int(r.origin)
         state.update((json.dumps((method.theta, last, waiting)),))
         yield pd.DataFrame(rows, columns=["node", "c", "origin", "threshold"])
