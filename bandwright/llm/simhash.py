@@ -176,7 +176,7 @@ def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048, level
             break
         heavy = cut(heavy, "full-subtrees")
         light = routed.join(heavy, group, "left_anti")
-        done = light if done is None else done.union(light)
+        done = light if done is None else done.unionByName(light)
         deeper = routed.join(heavy, group, "left_semi")
         own = F.shiftrightunsigned("fp", BITS - depth - levels).bitwiseAND(low(levels))
         mine = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
@@ -186,7 +186,7 @@ def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048, level
         a, b = down("a", F.when(F.col("left"), F.col("q")).otherwise(turned)), down("b", F.when(F.col("left"), turned).otherwise(F.col("q")))
         depth += levels
         routed = cut(deeper.select("fp", "id", F.lit(depth).alias("depth"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col("err") + F.col("x.e")).alias("err")), "deeper-subtrees")
-    routed = routed if done is None else done.union(routed)
+    routed = routed if done is None else done.unionByName(routed)
 
     def walk(key, table):
         depth, a, b, err = (k.as_py() for k in key)
