@@ -15,7 +15,7 @@ def width(y: Column, lo: Column, hi: Column) -> Column:
 
 
 def interval_score(y: Column, lo: Column, hi: Column, level: float) -> Column:
-    return F.avg(hi - lo + 2 / (1 - level) * (F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0))))
+    return F.avg(F.when(y.isNotNull(), hi - lo + 2 / (1 - level) * (F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0)))))
 
 
 def pinball(y: Column, bound: Column, tau: float) -> Column:
@@ -23,7 +23,7 @@ def pinball(y: Column, bound: Column, tau: float) -> Column:
 
 
 def newsvendor_cost(y: Column, order: Column, holding: float, shortage: float) -> Column:
-    return F.avg(holding * F.greatest(order - y, F.lit(0.0)) + shortage * F.greatest(y - order, F.lit(0.0)))
+    return F.avg(F.when(y.isNotNull(), holding * F.greatest(order - y, F.lit(0.0)) + shortage * F.greatest(y - order, F.lit(0.0))))
 
 
 def compare(replays: dict[str, DataFrame], level: float, by: str | None = None, one_sided: bool = False) -> DataFrame:

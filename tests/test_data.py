@@ -98,14 +98,18 @@ def test_reconciled_points_are_the_structural_least_squares(spark):
     base = {(n, h): float(draw.normal(10, 3)) for n in names for h in (1, 2)}
     given = spark.createDataFrame([(n, 7, h, v) for (n, h), v in base.items()], "node string, origin int, h int, point double")
     got = {(r["node"], r["h"]): r["point"] for r in hierarchy.wls_struct(given, edge).collect()}
+    under = {n: {m for x, m, _ in rows if x == n} for n in names}
+    upper = [n for n in names if n not in "abcde"]
+    j = np.array([[-1.0 if m == n else float(m in under[n]) for m in names] for n in upper])
+    w = np.array([float(len(under[n])) for n in names])
     dense = {}
-    for n, m, w in hierarchy.projection(rows):
-        for h in (1, 2):
-            dense[n, h] = dense.get((n, h), 0.0) + w * base[m, h]
+    for h in (1, 2):
+        b = np.array([base[n, h] for n in names])
+        dense |= {(n, h): v for n, v in zip(names, b - w * (j.T @ np.linalg.solve((j * w) @ j.T, j @ b)))}
     assert got.keys() == dense.keys() and all(got[k] == pytest.approx(dense[k]) for k in dense)
     assert got["total", 1] == pytest.approx(sum(got[s, 1] for s in "abcde"))
     with pytest.raises(ValueError):
-        hierarchy.wls_struct(given, edge, most=2)
+        hierarchy.wls_struct(given, edge, most_edges=2)
 
 
 def test_global_models_see_the_past_only(spark):

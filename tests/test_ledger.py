@@ -52,7 +52,7 @@ def play(spark, tmp_path, make, cover, score="absolute", state=None):
 )
 def test_recursive_methods_resume_as_the_fold(spark, tmp_path, issued, make):
     got, _ = play(spark, tmp_path, make, ledger.per_step(HORIZON))
-    want = {(r["node"], r["c"], r["origin"]): r["threshold"] for r in calibrate.fold(issued, lambda: make(0), True).collect()}
+    want = {(r["node"], r["c"], r["origin"]): r["threshold"] for r in calibrate.fold(issued, lambda: make(0)).collect()}
     assert want.keys() == got.keys()
     assert all(got[k]["threshold"] == (pytest.approx(t) if t is not None else None) for k, t in want.items())
 
@@ -121,3 +121,60 @@ def test_method_rules():
         p.update(-1.0, False)
     with pytest.raises(ValueError):
         p.seed([1.0])
+
+
+@pytest.mark.parametrize("make", [lambda c: calibrate.Tracker(0.8, 0.5), lambda c: calibrate.Retained(0.6, 4)], ids=["tracker", "retained"])
+def test_many_origins_in_one_call_are_as_single_calls(spark, tmp_path, make):
+    cover = ledger.per_step(HORIZON)
+    want, _ = play(spark, tmp_path, make, cover)
+    points = spark.createDataFrame([(n, o, h, guess(n, o, h)) for n in ("a", "bb") for o in range(LAST + 1) for h in (1, 2)], "node string, origin int, h int, point double")
+    actuals = spark.createDataFrame([(n, t, value(n, t)) for n in ("a", "bb") for t in range(LAST + 1)], "node string, t int, value double")
+    state, got = ledger.initial_state(points.select("node").distinct(), cover, make), {}
+    for k, part in enumerate((range(4), range(4, LAST + 1))):
+        new = actuals.filter(f"t between {part[0]} and {part[-1]}")
+        ledger.replay(state, list(part), points, new, str(tmp_path / f"many-{k}"), cover=cover, make=make)
+        state = ledger.load_state(spark, str(tmp_path / f"many-{k}"))
+        got |= {(r["node"], r["c"], r["origin"]): r for r in ledger.issues(state).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        ledger.replay(state, [3, 3], points, actuals, str(tmp_path / "bad"), cover=cover, make=make)
+
+
+class Counting(calibrate.Tracker):
+    STATE = ("theta", "flagged")
+
+    def __init__(self):
+        super().__init__(0.8, 0.5)
+        self.flagged = 0
+
+    def update_censored(self, score, missed, censored):
+        self.flagged += censored
+        self.update(score, missed)
+
+
+def test_a_target_is_censored_if_a_covered_value_is(spark, tmp_path):
+    cover, make = ledger.lead_time(3, 3), lambda c: Counting()
+    points = spark.createDataFrame([("n", o, h, 1.0) for o in range(9) for h in (1, 2, 3)], "node string, origin int, h int, point double")
+    actuals = spark.createDataFrame([("n", t, 2.0, t == 5) for t in range(9)], "node string, t int, value double, censored boolean")
+    state = ledger.replay(ledger.initial_state(points.select("node").distinct(), cover, make), list(range(9)), points, actuals, str(tmp_path / "s"), cover=cover, make=make)
+    assert json.loads(state.first()["kept"])["cells"][0]["flagged"] == 3  # origins 2, 3 and 4 cover period 5
+    done = {r["origin"]: (r["target"], r["censored"]) for r in ledger.realised(ledger.issues(state), actuals, cover).collect()}
+    assert done == {o: (6.0 if o + 3 < 9 else None, o in (2, 3, 4)) for o in range(9)}
+
+
+def test_scores_of_origins_without_a_bound_miss_nothing(spark):
+    rows = [("n", 3, 3, o, 0.0, float(o % 4), float(o % 4)) for o in range(12)]
+    issues = spark.createDataFrame(rows, "node string, c int, last_step int, origin int, point double, target double, score double")
+    got = {r["origin"]: r for r in calibrate.fold(issues, lambda: calibrate.ConformalPID(0.5, gain=0.0, window=50), seed_rows=4).collect()}
+    # seeds are the scores of origins 0 to 3, known at 6; those of 4 and 5 were never issued for
+    method = calibrate.ConformalPID(0.5, gain=0.0, window=50)
+    method.seed([0.0, 1.0, 2.0, 3.0])
+    assert not any(got[o]["ready"] for o in range(6)) and all(got[o]["threshold"] == method.threshold() for o in (6, 7, 8))
+
+
+def test_forecast_scorecaster():
+    cast = calibrate.ForecastScorecaster(lambda y, h: [y[-1] + k for k in range(h)], least=2)
+    assert cast([], 3) == 0.0 and cast([4.0], 3) == 4.0 and cast([4.0, 6.0], 3) == 8.0
+    p = calibrate.ConformalPID(0.5, scorecaster=cast, ahead=2)
+    p.seed([1.0, 5.0])
+    assert p.p == 1.0 - 6.0 and p.threshold() == 1.0
