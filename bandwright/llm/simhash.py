@@ -171,22 +171,24 @@ def fingerprint_links(fps: DataFrame, budget: int, per_bucket: int = 2048, level
     routed = routed.select("fp", "id", F.lit(depth).alias("depth"), F.least("p", other).alias("a"), F.greatest("p", other).alias("b"), F.col("x.e").alias("err"))
     group, done = ["depth", "a", "b", "err"], None
     while depth + levels < BITS:
-        heavy = routed.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * per_bucket).select(*group)
-        if not heavy.limit(1).count():
-            break
-        heavy = cut(heavy, "full-subtrees")
-        light = routed.join(heavy, group, "left_anti")
+        mine = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
+        routed = routed.withColumn("left", mine == F.col("a"))
+        heavy = routed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if("left").alias("lefts")).filter(F.col("n") > 4 * per_bucket)
+        heavy = cut(heavy.select(*group, ((F.col("a") == F.col("b")) | F.col("lefts").between(1, F.col("n") - 1)).alias("both")), "full-subtrees")
+        light = routed.join(heavy, group, "left_anti").drop("left")
         done = light if done is None else done.unionByName(light)
-        deeper = routed.join(heavy, group, "left_semi")
+        if not heavy.filter("both").limit(1).count():  # a pair with one side empty has no links
+            routed = None
+            break
+        deeper = routed.join(heavy.filter("both"), group, "left_semi")
         own = F.shiftrightunsigned("fp", BITS - depth - levels).bitwiseAND(low(levels))
-        mine = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
-        deeper = deeper.select("*", own.alias("q"), (mine == F.col("a")).alias("left"), F.explode(flips(levels, budget)).alias("x")).filter(F.col("err") + F.col("x.e") <= budget)
+        deeper = deeper.select("*", own.alias("q"), F.explode(flips(levels, budget)).alias("x")).filter(F.col("err") + F.col("x.e") <= budget)
         down = lambda side, bits: F.shiftleft(side, levels).bitwiseOR(bits)
         turned = F.col("q").bitwiseXOR(F.col("x.m"))
         a, b = down("a", F.when(F.col("left"), F.col("q")).otherwise(turned)), down("b", F.when(F.col("left"), turned).otherwise(F.col("q")))
         depth += levels
         routed = cut(deeper.select("fp", "id", F.lit(depth).alias("depth"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col("err") + F.col("x.e")).alias("err")), "deeper-subtrees")
-    routed = routed if done is None else done.unionByName(routed)
+    routed = done if routed is None else routed if done is None else done.unionByName(routed)
 
     def walk(key, table):
         depth, a, b, err = (k.as_py() for k in key)
