@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,37 @@ WINDOW = 13
 SHARE = 0.8
 SHORTEST = 5
 
+#: Marks and spaces beyond ASCII, which part tokens like those of ASCII.
+_MARKS = re.compile("[\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u303f\uff00-\uff0f\uff1a-\uff20]")
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han): each character is a token.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INDEX: dict[str, Index] = {}
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """Lower-cased runs of ASCII letters and digits and of everything beyond ASCII."""
+    """Lower-cased runs of ASCII letters and digits and of what is beyond ASCII, without its marks.
+
+    In scripts written without spaces each character is a token.
+    """
     if not text:
         return []
-    return text.decode("utf-8", "replace").lower().encode("utf-8").translate(_WORD_BYTES).split()
+    if not text.isascii():
+        text = _SPACELESS.sub(r" \g<0> ", _MARKS.sub(" ", text.decode("utf-8", "replace").lower())).encode("utf-8")
+    return text.lower().translate(_WORD_BYTES).split()
+
+
+def sure_substitutions(n: int) -> int:
+    """Most substitutions in n tokens that leave SHARE of them equal and, wherever they are, a place for a mask."""
+    for k in range(int(n * (1 - SHARE) + 1e-9), 0, -1):
+        places = [{p + at for at, bit in enumerate(m) if bit == "1"} for m in MASKS for p in range(n - len(m) + 1)]
+        if all(any(not place & set(bad) for place in places) for bad in combinations(range(n), k)):
+            return k
+    return 0
+
+
+_MAY_DIFFER = [sure_substitutions(n) for n in range(WINDOW + 1)]
 
 
 def mask_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
@@ -66,18 +88,14 @@ class Index:
             self.tables.append((mask, flat[order], item[order], at[order], seen))
 
     def overlap(self, doc: np.ndarray, item: np.ndarray, shift: int) -> int:
-        """Most equal tokens in a window along one alignment, if they are SHARE of it; else 0.
-
-        Items under WINDOW tokens must be met whole and exactly.
-        """
+        """Most equal tokens in a window along one alignment, if they are all but the sure substitutions; else 0."""
         width = min(WINDOW, len(item))
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
         if b - a < width:
             return 0
         same = np.concatenate([[0], np.cumsum(doc[a + shift : b + shift] == item[a:b])])
         most = int((same[width:] - same[:-width]).max())
-        need = width if width < WINDOW else -(-width * SHARE // 1)
-        return most if most >= need else 0
+        return most if most >= width - _MAY_DIFFER[width] else 0
 
     def hits(self, texts: list[bytes | None], step: int = 1 << 19) -> list[tuple[int, int, int]]:
         """(row, item, equal tokens) of every row and item that overlap."""
@@ -145,7 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, item_id, equal_tokens): each row of docs and test item that share a passage.
 
     A passage is WINDOW tokens in a row with at least SHARE of them equal, place by place, so substituted words
-    are allowed; an item under WINDOW tokens must be met whole, one under SHORTEST is not looked for.  The test
+    are allowed; an item under WINDOW tokens must be met whole, with as many substitutions as sure_substitutions
+    gives for its length, and one under SHORTEST, shorter than any mask, is not looked for.  The test
     items are few beside the documents: they go to every task in blocks of bounded size, and rows are not
     shuffled.  Null or empty texts share nothing; repeated rows are each returned; a null id stays null.
     """

@@ -263,7 +263,7 @@ def test_contaminated_against_brute_force(spark, texts):
         width = min(decontam.WINDOW, len(t))
         if width < decontam.SHORTEST:
             return False
-        need = width if width < decontam.WINDOW else 11
+        need = width - {8: 1, 13: 2}[width]
         return any(sum(d[i + k] == t[j + k] for k in range(width)) >= need for i in range(len(d) - width + 1) for j in range(len(t) - width + 1))
 
     small = [r for r in given + texts if len((r[1] or "").split()) < 1000]
@@ -276,6 +276,34 @@ def test_contaminated_against_brute_force(spark, texts):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_with_substitutions_against_brute_force():
+    """Every item of 1 to 16 tokens, every choice of up to three substitutions in it: found just if the law says so."""
+    reach = {n: max(k for k in range(n // 5 + 1) if all(any(all(p + at not in bad for at, c in enumerate(m) if c == "1") for m in decontam.MASKS for p in range(n - len(m) + 1)) for bad in combinations(range(n), k))) for n in range(5, 14)}
+    assert [decontam.sure_substitutions(n) for n in reach] == list(reach.values()) and reach[5] == 0 and reach[13] == 2
+    for n in range(1, 17):
+        item = [f"w{k}" for k in range(n)]
+        index = decontam.Index([(0, " ".join(item).encode())])
+        texts, want = [], []
+        for k in range(4):
+            for bad in combinations(range(n), k):
+                texts.append((" ".join(["before", *("x" if i in bad else w for i, w in enumerate(item)), "after"])).encode())
+                width = min(n, decontam.WINDOW)
+                equal = max(sum(i not in bad for i in range(a, a + width)) for a in range(n - width + 1))
+                want.append(n >= 5 and equal >= width - reach[width])
+        found = {r for r, _, _ in index.hits(texts)}
+        assert found == {r for r, w in enumerate(want) if w}, n
+
+
+def test_tokens_beyond_ascii(spark):
+    assert decontam.tokens("“Été”, déjà—vu…".encode()) == [w.encode() for w in ("été", "déjà", "vu")]
+    assert decontam.tokens("東京は大きい。Tokyo is".encode()) == [w.encode() for w in (*"東京は大きい", "tokyo", "is")]
+    assert decontam.tokens(b"\xff\xfe a") == ["\ufffd\ufffd".encode(), b"a"] and decontam.tokens(None) == []
+    item = "富士山は日本で一番高い山であり静岡県にある"
+    bench = spark.createDataFrame([(1, item), (2, "그것은 정말로 좋은 아침 이었다 모두에게")], "item_id long, text string")
+    docs = documents(spark, [(0, "前文" + item[:6] + "国" + item[7:] + "後文"), (1, "前文" + item[:8] + "後文"), (2, "“그것은 정말로 좋은 아침 이었다 모두에게”")])
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == {(0, 1), (2, 2)}
+
+
 def test_items_of_any_id_and_very_common_seeds(spark, monkeypatch):
     common = "one two three four five six seven eight nine ten eleven twelve thirteen"
     items = [(f"i{k}", common + f" tail{k}") for k in range(40)] + [(None, "alpha beta gamma delta epsilon"), ("", "zeta eta theta iota kappa")]
