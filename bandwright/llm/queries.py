@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, mixing, nndescent, quality, sharding, simhash, suffixes, urls, warc
 from .shared import fold, read_table
+from .url_sql import filter_urls_sql
 
 RULES = [
     urls.Rule("com", "/en/", False),
@@ -75,6 +76,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_markov_ratio": filter_urls_sql(RULES),
     "op2_warc_reassembly": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         h AS (SELECT d, min(page_id) AS head FROM p WHERE n >= 100 GROUP BY d)
