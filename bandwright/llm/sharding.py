@@ -38,9 +38,12 @@ def interleave(rows: DataFrame, source_col: str, order_cols: list[str], shards:
     A source's rows are put in the order of a seeded hash of order_cols; row r of n has the fraction
     (r + 1/2) / n.  All rows sorted by the fraction (ties by source, then hash) are cut into `shards` equal
     runs; slot counts from 0 in each.  Null sources are one source.  Rows alike in all of order_cols are
-    interchangeable.  An empty table gives no rows.
+    interchangeable.  An empty table gives no rows.  Columns named shard or slot are replaced, all others kept.
     """
-    keep, tie_cols = rows.columns, order_cols[:1]
+    # columns go by numbers meanwhile, so none can clash with those added here
+    at = {c: f"__c{k}" for k, c in enumerate(rows.columns)}
+    rows, source_col, order_cols = rows.toDF(*at.values()), at[source_col], [at[c] for c in order_cols]
+    keep, tie_cols = [F.col(n).alias(c) for c, n in at.items() if c not in ("shard", "slot")], order_cols[:1]
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in order_cols])
     rows = rows.select("*", F.shiftrightunsigned(h, 24).alias("__spot"), h.alias("__hash"))
     rows = cut(rows, "shard-rows")
@@ -62,8 +65,9 @@ def interleave(rows: DataFrame, source_col: str, order_cols: list[str], shards:
 def sharded_rows(docs: DataFrame, source_col: str, shards: int, seed: int = 42) -> DataFrame:
     """docs with `shard` and `slot`, in place of any such columns; whole rows are shuffled once, to meet their place."""
     docs = docs.drop("shard", "slot")
-    rows = numbered(docs, "shard-input")
-    content = F.xxhash64(*[F.col(c) for c in docs.columns])
-    narrow = rows.select("__row", F.col(source_col).alias("__source"), content.alias("__content"))
+    at = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    rows = numbered(docs.toDF(*at.values()), "shard-input")
+    content = F.xxhash64(*at.values())
+    narrow = rows.select("__row", F.col(at[source_col]).alias("__source"), content.alias("__content"))
     dealt = interleave(narrow, "__source", ["__content"], shards, seed).select("__row", "shard", "slot")
-    return rows.join(dealt, "__row").drop("__row")
+    return rows.join(dealt, "__row").select(*[F.col(n).alias(c) for c, n in at.items()], "shard", "slot")
