@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, mixing, nndescent, quality, sharding, simhash, suffixes, urls, warc
 from .shared import fold, read_table
+from .suffix_sql import remove_repeats_sql
 from .url_sql import filter_urls_sql
 
 RULES = [
@@ -85,6 +86,7 @@ ORACLE_SQL = {
                CASE WHEN page_id > head THEN head END AS refers_to
         FROM p LEFT JOIN h ON p.d = h.d AND p.n >= 100
     """,
+    "op7_suffix_dedup": remove_repeats_sql(),
     "op9_nn_descent": """
         WITH RECURSIVE sound AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
